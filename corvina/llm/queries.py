@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import boundaries, formatting, mixing, neardup, packing, splits, topn
+from corvina.llm import boundaries, formatting, mixing, neardup, overlap, packing, residue, splits, topn
 from corvina.runtime import Scratch, load
 
 FIELDS = ("download.code", "download.query")
@@ -93,6 +93,26 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(groups, targets)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.Leakage(load(spark, d, "download"), Scratch(spark, "p6")).pairs()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the other splits that are in training as well, per split and source, by each kind of overlap and by any."""
+    df = load(spark, d, "download")
+    hit = overlap.Leakage(df, Scratch(spark, "p6")).rows().groupBy("id").agg(F.collect_set("by").alias("by"))
+    j = df.filter("coalesce(split, '') <> 'train'").select("pair_id", "split", "source").join(hit.withColumnRenamed("id", "pair_id"), "pair_id", "left")
+    count = lambda c: F.count(F.when(c, 1))
+    kinds = [count(F.array_contains("by", k)).alias(f"by_{k}") for k in ("query", "code", "corpus_id")]
+    return j.groupBy("split", "source").agg(F.count("*").alias("n_rows"), *kinds, count(F.col("by").isNotNull()).alias("overlapping"))
+
+
+def p6_fractions(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap fraction with the other side of each class of same texts that has any."""
+    got = overlap.overlap_fractions(overlap.Leakage(load(spark, d, "download"), Scratch(spark, "p6")).shared)
+    return got.select("field", "cid", F.round("fraction", 6).alias("fraction"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(load(spark, d, "documents"), "doc_id", "text", _limits(spark, d)["documents.text"][0], Scratch(spark, "p7"))
 
@@ -130,5 +150,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _mix_inputs(spark, d)[1].filter("short").select("source")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return residue.judged(load(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).filter("verdict IS NOT NULL").select("doc_id")
+
+
+def p9_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).groupBy("verdict").agg(F.count("*").alias("n_docs"), F.sum("filler").alias("filler"), F.sum("notice").alias("notice"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f) and not isinstance(f, partial)}
