@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import boundaries, formatting, mixing, neardup, overlap, packing, residue, splits, topn
+from corvina.llm.sql import oracle_sql  # noqa: F401  (part of this module's interface)
 from corvina.runtime import Scratch, load
 
 FIELDS = ("download.code", "download.query")
@@ -163,4 +163,4 @@ def p9_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f) and not isinstance(f, partial)}
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}

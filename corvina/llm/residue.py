@@ -137,6 +137,7 @@ class Judge:
     """Localises residue in texts by windows of the log ratio."""
 
     def __init__(self, natural: np.ndarray):
+        natural = natural + 5 * seed_counts(list(seeds.NATURAL))  # outweighed by any larger collection
         self.ratio = [log_ratio(seed_counts(list(x)), natural) for x in (filler_seeds(), seeds.FILLER, seeds.NOTICES, seeds.CHROME)]
 
     def covered(self, flat: bytes) -> list[tuple[np.ndarray, np.ndarray]]:

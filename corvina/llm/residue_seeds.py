@@ -60,3 +60,11 @@ FILLER = (
     "Texto de ejemplo. Sustituya este párrafo por el suyo. Sustituya este texto por el suyo. Aquí va su texto. Aquí irá la descripción. Texto de relleno. Próximamente. En construcción. Contenido pendiente. Escriba aquí su texto.",
     "Texte d'exemple à remplacer avant la mise en ligne. Texte d'exemple. Remplacez ce paragraphe par le vôtre. Votre texte ici. La description viendra plus tard. Texte de remplissage. Bientôt disponible. En construction. Contenu à venir. Faux texte à remplacer.",
 )
+
+#: Natural prose on software, errors and scripts included: it steadies the natural model of small collections.
+NATURAL = (
+    "The bundler compiles the modules and writes one file per entry. JavaScript modules have to be enabled in the bundler; the option is called mode. The option is set in the configuration of the build. Our build needs Python packages to be enabled in the lock file.",
+    "The server answers with an error when the key is missing, and the client retries the request. Users who see the message should clear the cache. The test checks that the response is denied without a token. We log the message and open a new session. The crawler skips pages without a body.",
+    "The function returns the sorted values and keeps the order of equal keys. Each node owns a list of edges; nothing else may change it. We measured the time of each step and compared the results. The index holds one row per term. If the file is missing, the default is read. Call the method before the handle is closed.",
+    "Das Modul hält genau einen Eintrag vor. Fehlt der Schlüssel, gilt der Wert der Vorgabe. Le module conserve une seule entrée par clé. Si la clé manque, la valeur par défaut est prise. El módulo guarda una sola entrada por cada clave. Si falta la clave, se usa el valor por defecto.",
+)
