@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import residue_seeds as seeds
+from corvina.llm.textkit import slices
 
 GRAM, BITS = 5, 18
 SIZE = 1 << BITS
@@ -116,8 +117,10 @@ def natural_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE, np.int64)
         for b in batches:
-            flat = "\n".join([_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t for t in b.column(0).to_pylist()]).lower()
-            total += np.bincount(grams(flat.encode("utf-8", "replace").translate(_PLAIN)), minlength=SIZE)
+            texts = b.column(0).to_pylist()
+            for part in slices(texts):
+                flat = "\n".join([_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t for t in texts[part]]).lower()
+                total += np.bincount(grams(flat.encode("utf-8", "replace").translate(_PLAIN)), minlength=SIZE)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
@@ -204,7 +207,8 @@ def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = judge(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            got = [x for part in slices(texts) for x in judge(texts[part])]
             cols = list(zip(*got)) if got else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([verdict(*x) for x in got], pa.string()), *(pa.array(list(c), pa.int64()) for c in cols)], names=["doc_id", "verdict", "slots", "filler", "notice", "prose"])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -18,6 +19,20 @@ _WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile(r"\s*([\w.\-]+)\s*[=:]\s*(\S.*)")
 
 
+def slices(texts: list[str | None], limit: int = 1_500_000) -> Iterator[slice]:
+    """Consecutive runs of texts of at most ``limit`` characters together (a longer text is a run of its own): what is held of a
+    batch in memory at once does not hang on how many rows Spark puts in it."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size + n > limit and i > at:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def squeeze(text: str) -> str:
     """Lower-cased letters and digits of a text."""
     return _DROP.sub("", text.lower())
