@@ -30,13 +30,16 @@ def col(c: Column | str) -> Column:
 def split_identifier(c: Column | str) -> Column:
     """T1. Lower-case parts of a name in order, each once, then the whole name if it has more than one part; only underscores: the name itself."""
     c = col(c)
-    bare = F.regexp_replace(c, "^_+|_+$", "")
-    s = bare
+    return F.when(c == "", F.array().cast("array<string>")).when(c.rlike("^_+$"), F.array(F.lower(c))).otherwise(_parts(c))
+
+
+def _parts(c: Column) -> Column:
+    """Parts of a name that has a letter or digit; each intermediate value is computed once, being bound by a one-element transform."""
+    s = F.btrim(c, F.lit("_"))
     for p in ("([0-9])([a-zA-Z])", "([a-zA-Z])([0-9])", "([A-Z]{2,})([A-Z][a-z])", "([a-z0-9])([A-Z])"):
         s = F.regexp_replace(s, p, "$1_$2")
-    parts = F.filter(F.split(F.lower(s), "_+"), lambda x: x != "")
-    full = F.when(F.size(parts) > 1, F.array(F.lower(bare))).otherwise(F.array().cast("array<string>"))
-    return F.when(c == "", F.array().cast("array<string>")).when(bare == "", F.array(F.lower(c))).otherwise(F.array_distinct(F.concat(parts, full)))
+    whole = lambda x: F.array_distinct(F.concat(F.split(x, "_+"), F.array(F.lower(F.btrim(c, F.lit("_"))))))
+    return F.get(F.transform(F.array(F.lower(s)), lambda x: F.when(F.contains(x, F.lit("_")), whole(x)).otherwise(F.array(x))), F.lit(0))
 
 
 def tokenize_code(c: Column | str, split_subtokens: bool = True, min_length: int = 1) -> Column:

@@ -7,12 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvina.functions.text import is_keyword
+from corvina.runtime import Scratch
 
 
-def build(corpus: DataFrame, tokens: Column, key: str = "doc_id", least_length: int = 0) -> tuple[DataFrame, DataFrame]:
-    """L1. (postings (term, key, tf, len), lengths (key, len)); texts without terms count in lengths."""
+def build(corpus: DataFrame, tokens: Column, key: str = "doc_id", least_length: int = 0, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """L1. (postings (term, key, tf, len), lengths (key, len)); texts without terms count in lengths.
+
+    With scratch both come from tables, so that texts are tokenised once however often the index is read."""
     t = corpus.select(key, tokens.alias("toks"))
     t = t.select(key, "toks", F.greatest(F.size("toks"), F.lit(least_length)).alias("len"))
+    if scratch:
+        t = scratch.keep(t)
+        postings = t.select(key, "len", F.explode("toks").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+        return scratch.keep(postings), t.select(key, "len")
     return t.select(key, "len", F.explode("toks").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf")), t.select(key, "len")
 
 

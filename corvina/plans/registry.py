@@ -147,16 +147,13 @@ def _(sp, d):
     return a.select("term", F.size("ids").cast("bigint").alias("n_docs"), "n_bytes", (codec.from_gaps(F.col("decoded")) == F.col("ids")).alias("round_trip"))
 
 
-def _numbered(c: DataFrame, prefix: int = 2) -> DataFrame:
-    """Texts numbered 1.. in order of doc_id: ranks within a prefix of the id, after the counts of the prefixes before it."""
+def _numbered(c: DataFrame, prefix: int = 3) -> DataFrame:
+    """Rows with n, their number from 1 in order of doc_id: the rank within a prefix of the id, after the rows of the prefixes before."""
     k = F.substring("doc_id", 1, prefix)
     per = c.groupBy(k.alias("k")).agg(F.count("*").alias("m"))
     off = per.withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("k", "before")  # a row per prefix
     r = c.withColumn("k", k).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("doc_id")))
-    return r.join(off, "k").select("doc_id", "text", (F.col("before") + F.col("r")).cast("bigint").alias("n"))
-
-
-_PY_STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return r.join(off, "k").select(*c.columns, (F.col("before") + F.col("r")).cast("bigint").alias("n"))
 
 
 @query("T12_sanitize_query", "SELECT pair_id, regexp_replace(regexp_replace(query, '[^\\P{C}\\n\\t]|[^\\P{Z} ]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g') AS query FROM download")
@@ -205,7 +202,7 @@ def _(sp, d):
 
 # --- lexical ---------------------------------------------------------------------------------------------------------
 def _bm25(sp, d, tok=text.tokenize_code, weighted=False, counted=False, least=0, corpus=None):
-    index = lexical.build(corpus if corpus is not None else _corpus(sp, d), tok("text"), least_length=least)
+    index = lexical.build(corpus if corpus is not None else _corpus(sp, d), tok("text"), least_length=least, scratch=Scratch(sp, "index"))
     if weighted:
         index = (lexical.weigh(index[0]), index[1])
     return lexical.search(lexical.query_terms(_questions(sp, d), tok("query"), counted=counted), index)
@@ -308,8 +305,9 @@ _HDENSE = f"""tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus)
 
 def _hash_dense(sp, d, k):
     """Dense ranking of the corpus by the stand-in encoder; texts get numbers for the matrix product."""
-    c = Scratch(sp, "dense").keep(vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text")).withColumn("text", F.col("doc_id")))
-    c = Scratch(sp, "dense").keep(_numbered(c.select("doc_id", "text")).join(c.select("doc_id", "v"), "doc_id").select("doc_id", F.col("n").alias("id"), "v"))
+    sc = Scratch(sp, "dense")
+    c = sc.keep(vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text")))
+    c = sc.keep(_numbered(c).withColumnRenamed("n", "id"))
     q = vectors.hash_encode(_questions(sp, d), "query_id", text.tokenize_code("query")).withColumnRenamed("query_id", "qid")
     return vectors.top_k(q, c, k).join(c.select("id", "doc_id"), "id").select(F.col("qid").alias("query_id"), "doc_id", "score", "rank")
 
