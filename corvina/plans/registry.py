@@ -340,6 +340,22 @@ def _(sp, d):
     return g.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "label"))).select("qid", "label", "best", r6("score"), big("rank"))
 
 
+@query("V10_strong_matches", f"WITH {s.DENSE} SELECT qid, id, round(score, 6) AS score, rank, score >= 0.2 AS strong FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dense) WHERE rank <= 20")
+def _(sp, d):
+    return vectors.top_k(*_vecs(sp, d), 20).select("qid", "id", r6("score"), big("rank"), (F.col("score") >= 0.2).alias("strong"))
+
+
+@query("V8_hyde_search")
+def _(sp, d):
+    """Search by the mean vector of a query and its hypothetical snippets."""
+    t = _questions(sp, d).select("query_id", F.posexplode(text.hyde_queries("query")).alias("pos", "x")).withColumn("k", F.col("query_id") * 4 + F.col("pos"))
+    v = vectors.hash_encode(t, "k", text.tokenize_code("x")).withColumn("qid", F.expr("k DIV 4"))
+    sc = Scratch(sp, "hyde")
+    c = sc.keep(vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text")))
+    c = sc.keep(_numbered(c).withColumnRenamed("n", "id"))
+    return vectors.top_k(vectors.centroid(v, "qid", "v"), c, 10).join(c.select("id", "doc_id"), "id").select("qid", "doc_id", r6("score"), big("rank"))
+
+
 # --- fusion ----------------------------------------------------------------------------------------------------------
 _WEIGHT = "CASE source WHEN 'dense' THEN 0.85 WHEN 'sparse' THEN 0.15 ELSE 1.0 END"
 _WEIGHTS = {"dense": 0.85, "sparse": 0.15}
