@@ -1,7 +1,7 @@
 """Problem 9: template residue, filler and server notices, by character n-gram models and likelihood-ratio windows.
 
-Models of hashed character 5-grams: filler words, stand-in phrases and notices are fitted on seed texts, natural prose on all texts of the
-collection (a table of fixed size, counted in parallel). A text's own prose - code, quotations and markup masked - is scored
+Models of hashed character 5-grams: filler words, stand-in phrases and notices are fitted on seed texts, natural prose on the distinct
+sentences of the collection (a table of fixed size, counted in parallel). A text's own prose - code, quotations and markup masked - is scored
 by the log ratio of a model to natural prose; windows with a positive mean are residue. Unfilled slots ({{ x }}, __X__, [x here])
 become one reserved symbol that only the filler model knows, so that the same windows find them. A text is excluded by
 coverage: any slot, any sentence mostly filler, or notices making up most of its prose."""
@@ -112,19 +112,28 @@ def filler_seeds() -> list[str]:
 
 def natural_counts(docs: DataFrame) -> np.ndarray:
     """Counts of the n-grams of all texts, fenced code left out; the table has SIZE entries whatever the input, and is summed
-    in parallel. Residue among the texts only lowers its own log ratio: n-grams are counted jointly, not by context."""
+    in parallel. Every distinct sentence counts once, digits aside: a notice does not become natural prose by being repeated, be it
+    on a third of all rows. What residue is left only lowers its own log ratio: n-grams are counted jointly, not by context."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in slices(texts):
-                flat = "\n".join([_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t for t in texts[part]]).lower()
-                total += np.bincount(grams(flat.encode("utf-8", "replace").translate(_PLAIN)), minlength=SIZE)
+                got = {x.strip() for t in texts[part] for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}
+                flat = {x.encode("utf-8", "replace").translate(_PLAIN) for x in got if x}
+                yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.binary())], names=["s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE, np.int64)
+        for b in batches:
+            parts = b.column(0).to_pylist()
+            for part in slices(parts):
+                total += np.bincount(grams(joined(parts[part])), minlength=SIZE)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
-    rows = docs.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    once = docs.mapInArrow(split, "s binary").distinct()
+    rows = once.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SIZE)
     out[rows["g"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -201,7 +210,7 @@ def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, verdict, slots, filler, notice, prose) of each text: verdict is slot, filler, notice or null for a sound text.
 
     Null and empty texts are sound (there is nothing unusable in them). Whole texts are read, twice: once to count the natural
-    model, once to judge; nothing is shuffled but the count table."""
+    model, once to judge; the sentences are shuffled to be counted once each, and the count table."""
     docs = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     judge = Judge(natural_counts(docs))
 

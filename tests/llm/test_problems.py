@@ -305,3 +305,13 @@ def test_residue(spark):
     got = {r["doc_id"]: r["verdict"] for r in residue.judged(df, "doc_id", "text").collect()}
     assert [(texts[i], k, got[i]) for i, k in enumerate(kinds) if got[i] != k] == []
     assert residue.judged(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("notice", ["Your session has expired.", "404 Not Found.", "Access denied.", "Please enable JavaScript to continue.", "Coming soon."])
+def test_residue_that_a_third_of_rows_repeat(spark, notice):
+    rng = random.Random(12)
+    natural = [f"{rng.choice(PROSE)} The {program(rng, 4)} entry holds {program(rng, 3)} and {rng.randint(0, 999)} more." for _ in range(1500)]
+    copies = [notice] * 400 + [f"{notice}\n{notice.upper()}"] * 350
+    df = spark.createDataFrame(list(enumerate(natural + copies)), "doc_id bigint, text string").coalesce(2)
+    got = {r["doc_id"] for r in residue.judged(df, "doc_id", "text").filter("verdict IS NOT NULL").collect()}
+    assert got == set(range(1500, 2250))
