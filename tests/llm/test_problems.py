@@ -236,6 +236,13 @@ def test_leakage_matches_brute_force(spark, scratch):
     assert overlap.Leakage(df.limit(0), scratch).pairs().count() == 0
 
 
+def test_leakage_of_a_record_that_repeats_itself(spark, scratch):
+    text = program(random.Random(13), 100)
+    data = [(1, "train", None, text, None), (2, "test", None, " ".join([text] * 3), None), (3, "test", None, program(random.Random(14), 100), None)]
+    df = spark.createDataFrame(data, "pair_id bigint, split string, query string, code string, corpus_id string")
+    assert brute_sim(data[0][3], data[1][3]) >= 0.7 and rows(overlap.Leakage(df, scratch).pairs()) == [(1, 2)]
+
+
 # --- 7
 def test_patterns_place_everything():
     rng = random.Random(9)
