@@ -243,6 +243,16 @@ def test_leakage_of_a_record_that_repeats_itself(spark, scratch):
     assert brute_sim(data[0][3], data[1][3]) >= 0.7 and rows(overlap.Leakage(df, scratch).pairs()) == [(1, 2)]
 
 
+def test_fraction_of_copies_in_both_splits(spark, scratch):
+    rng = random.Random(15)
+    texts = [program(rng, 60) for _ in range(3)]
+    part = " ".join(texts[0].split()[:30] + program(rng, 30).split())  # shares some chunks with the first
+    data = [(0, "train", texts[0]), (1, "test", texts[0].upper()), (2, "train", texts[1]), (3, "test", texts[2]), (4, "train", "two words"), (5, None, "Two words"), (6, "test", part)] + [(10 + i, ["train", "test"][i % 2], "a hot text of six words") for i in range(20)]
+    df = spark.createDataFrame([(i, s, None, t, None) for i, s, t in data], "pair_id bigint, split string, query string, code string, corpus_id string")
+    got = {r["cid"]: r["fraction"] for r in overlap.overlap_fractions(overlap.Leakage(df, scratch).shared).collect()}
+    assert set(got) == {0, 4, 6, 10} and got[0] == got[4] == got[10] == 1 and 0 < got[6] < 1
+
+
 # --- 7
 def test_patterns_place_everything():
     rng = random.Random(9)
