@@ -253,6 +253,22 @@ def test_fraction_of_copies_in_both_splits(spark, scratch):
     assert set(got) == {0, 4, 6, 10} and got[0] == got[4] == got[10] == 1 and 0 < got[6] < 1
 
 
+def test_leakage_of_short_records_matches_brute_force(spark, scratch):
+    rng = random.Random(16)
+    data = []
+    for i in range(300):
+        w = program(rng, rng.randint(5, 40)).split()
+        v = list(w)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.choice([0, len(v) - 1, rng.randrange(len(v))])
+            v[at : at + rng.randint(0, 1)] = ["edited"]
+        data += [(2 * i, "train", " ".join(w), None, None), (2 * i + 1, "test", None if i % 50 == 0 else " ".join(v), None, None)]
+    want = {(a[0], b[0]) for a in data[::2] for b in data[1::2] if a[0] < b[0] and brute_sim(a[2], b[2]) >= 0.7}
+    want |= {(b[0], a[0]) for a in data[::2] for b in data[1::2] if b[0] < a[0] and brute_sim(a[2], b[2]) >= 0.7}
+    df = spark.createDataFrame(data, "pair_id bigint, split string, query string, code string, corpus_id string").repartition(4)
+    assert set(rows(overlap.Leakage(df, scratch).pairs())) == want and len(want) > 100
+
+
 # --- 7
 def test_patterns_place_everything():
     rng = random.Random(9)
