@@ -3,7 +3,7 @@
 Models of hashed character 5-grams: filler words, stand-in phrases and notices are fitted on seed texts, natural prose on the distinct
 sentences of the collection (a table of fixed size, counted in parallel). A text's own prose - code, quotations and markup masked - is scored
 by the log ratio of a model to natural prose; windows with a positive mean are residue. Unfilled slots ({{ x }}, __X__, [x here])
-become one reserved symbol that only the filler model knows, so that the same windows find them. A text is excluded by
+are found by fixed patterns, not by a model: a match becomes one reserved symbol, and one is enough. A text is excluded by
 coverage: any slot, any sentence mostly filler, or notices making up most of its prose."""
 
 from __future__ import annotations
