@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -62,9 +61,26 @@ def gaps(ids: Column) -> Column:
 
 
 def from_gaps(g: Column) -> Column:
-    return F.transform(g, lambda x, i: F.aggregate(F.slice(g, 1, i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y))
+    """T11. The array whose gaps are g: running sums, in one pass over each array."""
+
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.cumsum(x))
+
+    return F.pandas_udf(run, "array<bigint>")(g)
+
+
+BLOCK = 4096
+
+
+def postings_blocks(postings: DataFrame, by: str, key: str, block: int = BLOCK) -> DataFrame:
+    """T10, T11. (by, block, n, first, code): postings (by, key), key a distinct non-negative integer, as variable-byte codes of
+    gaps, in blocks of keys: block is key DIV ``block``, so a list of any length is many rows of at most ``block`` numbers and no
+    task gathers it. The first gap of a block is the key itself; within a block the codes stand for the differences."""
+    p = postings.select(by, F.floor(F.col(key) / block).alias("block"), F.col(key).cast("bigint").alias("k"))
+    g = p.groupBy(by, "block").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    return g.select(by, "block", F.size("ks").alias("n"), F.get("ks", F.lit(0)).alias("first"), vbyte_encode(gaps(F.col("ks"))).alias("code"))
 
 
-def gap_rows(postings: DataFrame, by: str, key: str) -> DataFrame:
-    """T11. Gaps as rows, for lists too long for an array."""
-    return postings.withColumn("gap", F.col(key) - F.coalesce(F.lag(key).over(W.partitionBy(by).orderBy(key)), F.lit(0)))
+def postings_of(blocks: DataFrame, by: str, key: str) -> DataFrame:
+    """T10, T11. The rows (by, key) behind ``postings_blocks``."""
+    return blocks.select(by, F.explode(from_gaps(vbyte_decode("code"))).alias(key))

@@ -1,4 +1,4 @@
-"""Text functions as Catalyst expressions (T1-T18, Q1-Q4): Column in, Column out, inside whole-stage code generation."""
+"""Text functions as Catalyst expressions (T1-T9, T12-T18, Q1-Q4): Column in, Column out, inside whole-stage code generation."""
 
 from __future__ import annotations
 
@@ -103,6 +103,7 @@ def snake_name(c: Column | str) -> Column:
     return F.when(F.size(w) > 0, F.array_join(F.slice(w, 1, 5), "_")).otherwise("handler")
 
 
+# The two snippet forms below.
 def hyde_code(c: Column | str, language: str = "python") -> Column:
     """T14. A hypothetical snippet for a query."""
     q = F.regexp_replace(col(c), r"^\s+|\s+$", "")
@@ -146,11 +147,6 @@ def snippet(c: Column | str, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(F.split(col(c), "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
 
 
-def truncate_pair(c: Column | str) -> Column:
-    """T19. Without a tokenizer: up to 1000 characters pass, longer texts keep 1500."""
-    return F.when(F.char_length(col(c)) <= 1000, col(c)).otherwise(F.substring(col(c), 1, 1500))
-
-
 def query_intent(c: Column | str) -> Column:
     """Q1. struct(intent, confidence, symbol, error)."""
     q = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
@@ -170,6 +166,7 @@ def query_intent(c: Column | str) -> Column:
     return out.otherwise(row("conceptual", 0.7))
 
 
+# The words and signs of code.
 def syntax_density(c: Column | str) -> Column:
     """Q2. Part of a query's words that look like code."""
     toks = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"\s+"), lambda x: x != "")
@@ -183,10 +180,15 @@ def syntax_density(c: Column | str) -> Column:
 def adaptive_weights(c: Column | str, base: float = 0.85, least: float = 0.4) -> Column:
     """Q3. struct(dense, sparse) weights by density."""
     d = F.greatest(F.lit(least), F.least(F.lit(base), F.lit(base) - syntax_density(c) * F.lit(base - least)))
-    return F.struct(F.bround(d, 4).alias("dense"), F.bround(1 - d, 4).alias("sparse"))
+    return F.struct(F.bround(F.round(d, 9), 4).alias("dense"), F.bround(F.round(1 - d, 9), 4).alias("sparse"))
+
+
+#: Words of a question on structure, and on usage.
+STRUCTURAL_WORDS = ["call", "before", "path", "chain", "flow", "reaches"]
+USAGE_WORDS = ["where is", "used", "deeplink", "uri", "location", "find use"]
 
 
 def agent_intent(c: Column | str) -> Column:
-    """Q4."""
+    """Q4. structural, usage or semantic; null is semantic."""
     low = F.lower(col(c))
-    return F.when(low.rlike("call|before|path|chain|flow|reaches"), "structural").when(low.rlike("where is|used|deeplink|uri|location|find use"), "usage").otherwise("semantic")
+    return F.when(low.rlike("|".join(STRUCTURAL_WORDS)), "structural").when(low.rlike("|".join(USAGE_WORDS)), "usage").otherwise("semantic")

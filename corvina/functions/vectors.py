@@ -1,14 +1,18 @@
-"""Vector expressions (V1, V2) and the block matrix product behind exact search."""
+"""Vector expressions (V1, V2) and the block matrix products behind exact search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvina.functions.blocks import best_of_blocks, column
+
 DIM = 64
 
 
@@ -30,59 +34,169 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def packed(df: DataFrame, key: str, block: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(ids, m, also): unit vectors of rows (key, v, also) in blocks of at most ``block`` rows; null keys and vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                s = b.slice(at, block)
+                m = np.asarray(s.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(s.num_rows, -1)
+                m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+                lists = [pa.array([s.column(i).to_pylist()], pa.list_(s.column(i).type)) for i in (0, *range(2, 2 + len(also)))]
+                yield pa.RecordBatch.from_arrays([lists[0], pa.array([m.tobytes()]), *lists[1:]], names=["ids", "m", *also])
+
+    rows = df.select(F.col(key).alias("key"), doubles("v").alias("v"), *also).filter("key IS NOT NULL AND v IS NOT NULL")
+    t = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"ids array<{t['key']}>, m binary" + "".join(f", `{c}` array<{t[c]}>" for c in also))
+
+
+def _products(qm: bytes, n: int, cm: bytes, k: int) -> np.ndarray:
+    q, c = np.frombuffer(qm).reshape(n, -1), np.frombuffer(cm).reshape(k, -1)
+    return np.round(q @ c.T, 9) + 0.0
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int | None, block: int = 2048) -> DataFrame:
     """(qid, id, score, rank): the k corpus rows (all if k is None) of highest cosine for each query, ties by id ascending.
 
-    queries (qid, v) and corpus (id, v) are packed into blocks of at most ``block`` rows; pairs of blocks, not of rows, are
-    joined, and each is one matrix product that leaves k rows per query. Neither side is broadcast or collected. Null vectors
-    are left out; scores are rounded to 9 places before ranking, so that the order does not hang on the order of addition."""
-    spark = corpus.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries (qid, v) and corpus (id, v), ids integers or texts, are packed into blocks; pairs of blocks, not of rows, are joined, and
+    each is one matrix product. Neither side is broadcast or collected. Null vectors are left out; scores are rounded to
+    9 places before ranking, so that the order does not hang on the order of addition."""
+    a = packed(queries, "qid", block).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    b = packed(corpus, "id", block).repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    qt, ct = dict(queries.dtypes)["qid"], dict(corpus.dtypes)["id"]
+    if k is not None:
+        return best_of_blocks(a, b, k, lambda x, y: (x[0], column(y[0]), _products(x[1], len(x[0]), y[1], len(y[0]))), qt, ct)
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns)):
+                s = _products(qm, len(qi), cm, len(ci))
+                yield pa.RecordBatch.from_arrays([pa.array([q for q in qi for _ in ci], batch.schema.field(0).type.value_type), pa.array(ci * len(qi), batch.schema.field(2).type.value_type), pa.array(s.ravel())], names=["qid", "id", "score"])
+
+    every = a.hint("shuffle_replicate_nl").crossJoin(b).mapInArrow(product, f"qid {qt}, id {ct}, score double")
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")))
+
+
+def pairs_above(df: DataFrame, tau: float, block: int = 2048) -> DataFrame:
+    """(qid, id, score) of all pairs of rows (id, v) of which the cosine, rounded to 9 places, reaches tau; qid < id.
+
+    Each pair of blocks is multiplied once, and only what reaches tau leaves the product. Ids are taken as unique."""
+    t = dict(df.dtypes)["id"]
+    b = packed(df, "id", block).withColumn("name", F.array_min("ids")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns)):
+                s = _products(qm, len(qi), cm, len(ci))
+                x, y = np.nonzero(s >= tau)
+                got = [(*sorted((qi[i], ci[j])), v) for i, j, v in zip(x.tolist(), y.tolist(), s[x, y].tolist()) if (qi[i] < ci[j] if qi == ci else qi[i] != ci[j])]
+                q, d, v = zip(*got) if got else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, batch.schema.field(0).type.value_type), pa.array(d, batch.schema.field(0).type.value_type), pa.array(v, pa.float64())], names=["qid", "id", "score"])
+
+    x, y = b.select(F.col("ids").alias("i"), F.col("m").alias("n"), F.col("name").alias("first")), b
+    pairs = x.hint("shuffle_replicate_nl").join(y, F.col("first") <= F.col("name")).select("i", "n", "ids", "m")
+    return pairs.mapInArrow(product, f"qid {t}, id {t}, score double")
+
 
-    def packed(df: DataFrame, key: str) -> DataFrame:
+def best_per_label(queries: DataFrame, corpus: DataFrame, block: int = 2048) -> DataFrame:
+    """V13. (qid, label, id, score): of corpus rows (id, v, label) the one of highest cosine for each query and label, ties by id.
+
+    A block leaves one row per query and label. Null labels are one label."""
+    a = packed(queries, "qid", block).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    b = packed(corpus, "id", block, ("label",)).repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = {"qid": dict(queries.dtypes)["qid"], "id": dict(corpus.dtypes)["id"], "label": dict(corpus.dtypes)["label"]}
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(i).type.value_type for i in (0, 4, 2)]
+            for qi, qm, ci, cm, labels in zip(*(c.to_pylist() for c in batch.columns)):
+                order = sorted(range(len(ci)), key=lambda i: (labels[i] is None, labels[i], ci[i]))
+                s = _products(qm, len(qi), cm, len(ci))[:, order]
+                starts = [k for k, i in enumerate(order) if k == 0 or labels[i] != labels[order[k - 1]]]
+                top = np.maximum.reduceat(s, starts, axis=1)
+                width = np.diff([*starts, len(order)])
+                first = np.minimum.reduceat(np.where(s == np.repeat(top, width, axis=1), np.arange(len(order)), len(order)), starts, axis=1)
+                cols = [[q for q in qi for _ in starts], [labels[order[k]] for k in starts] * len(qi), [ci[order[k]] for k in first.ravel().tolist()]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, x) for c, x in zip(cols, types)), pa.array(top.ravel())], names=["qid", "label", "id", "score"])
+
+    every = a.hint("shuffle_replicate_nl").crossJoin(b).mapInArrow(product, f"qid {t['qid']}, label {t['label']}, id {t['id']}, score double")
+    g = every.groupBy("qid", "label").agg(F.max("score").alias("score"), F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x"))
+    return g.select("qid", "label", F.col("x.id").alias("id"), "score")
+
+
+def maxsim_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """V6. (qid, id, score, rank): the k texts of highest MaxSim for each query, ties by id; queries (qid, vs), corpus (id, vs) with the
+    token vectors of each. A block product gives all token pairs; maxima are taken per text and summed per query. A query or text
+    without tokens scores 0."""
+
+    def pack(df: DataFrame, key: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, block):
                     s = b.slice(at, block)
-                    v = s.column(1)
-                    m = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(s.num_rows, -1)
-                    m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
-                    yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()])], names=["ids", "m"])
+                    n = np.array([len(x) for x in s.column(1).to_pylist()], np.int64)
+                    m = np.asarray(s.column(1).flatten().flatten().to_numpy(zero_copy_only=False), np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_pylist()], pa.list_(s.column(0).type)), pa.array([n.tobytes()]), pa.array([m.tobytes()])], names=["ids", "n", "m"])
 
-        rows = df.select(F.col(key).cast("bigint").alias("key"), doubles("v").alias("v")).filter("key IS NOT NULL AND v IS NOT NULL")
-        return rows.mapInArrow(run, "ids array<bigint>, m binary")
+        rows = df.select(F.col(key).alias("key"), F.coalesce(F.col("vs").cast("array<array<double>>"), F.array().cast("array<array<double>>")).alias("vs")).filter("key IS NOT NULL")
+        return rows.mapInArrow(run, f"ids array<{dict(rows.dtypes)['key']}>, n binary, m binary")
 
-    a = packed(queries, "qid").select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
-    b = packed(corpus, "id").repartition(parts)
+    def score(x: tuple, y: tuple) -> tuple[list, np.ndarray, np.ndarray]:
+        (qi, qn, qm), (ci, cn, cm) = x, y
+        qn, cn = np.frombuffer(qn, np.int64), np.frombuffer(cn, np.int64)
+        out = np.zeros((len(qi), len(ci)))
+        if qn.sum() and cn.sum():
+            q, c = np.frombuffer(qm).reshape(qn.sum(), -1), np.frombuffer(cm).reshape(cn.sum(), -1)
+            some_q, some_c = np.flatnonzero(qn), np.flatnonzero(cn)
+            starts = lambda n: np.concatenate(([0], np.cumsum(n)[:-1]))
+            best = np.maximum.reduceat(q @ c.T, starts(cn[some_c]), axis=1)
+            out[np.ix_(some_q, some_c)] = np.add.reduceat(best, starts(qn[some_q]), axis=0)
+        return qi, column(ci), np.round(out, 9) + 0.0
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qm, ci, cm in zip(*(c.to_pylist() for c in batch.columns)):
-                q, c = np.frombuffer(qm).reshape(len(qi), -1), np.frombuffer(cm).reshape(len(ci), -1)
-                ids, s = np.array(ci, np.int64), np.round(q @ c.T, 9) + 0.0
-                n = len(ids) if k is None else min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qi, np.int64), n)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["qid", "id", "score"])
-
-    from pyspark.sql import Window as W
-
-    pairs = a.crossJoin(b).select("q_ids", "q_m", "ids", "m")  # of blocks: a stated query set against all rows
-    best = pairs.mapInArrow(product, "qid bigint, id bigint, score double")
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")))
-    return best.filter(F.col("rank") <= k) if k is not None else best
-
-
-def hash_encode(texts: DataFrame, key: str, tokens: Column, dim: int = DIM) -> DataFrame:
-    """V1 stand-in. (key, v): counts of a text's tokens by bucket of their MD5, signed, unit length; JVM only.
-
-    A trained encoder may take its place through ``encode``."""
-    t = texts.select(key, F.explode(tokens).alias("t")).withColumn("h", F.md5("t"))
-    bucket = (F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % dim).alias("b")
-    sign = F.when(F.conv(F.substring("h", 5, 1), 16, 10).cast("int") < 8, 1).otherwise(-1).alias("s")
-    n = t.select(key, bucket, sign).groupBy(key, "b").agg(F.sum("s").alias("s"))
-    m = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"))  # at most dim entries a text
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return m.select(key, normalize(v).alias("v"))
+    a = pack(queries, "qid").toDF("q_ids", "q_n", "q_m")
+    b = pack(corpus, "id").repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return best_of_blocks(a, b, k, score, dict(queries.dtypes)["qid"], dict(corpus.dtypes)["id"])
+
+
+def hash_encode(texts: DataFrame, key: str, text: str, tokens: Callable[[str | None], list[str]], dim: int = DIM) -> DataFrame:
+    """V1 stand-in. (key, v): counts of a text's tokens by bucket of their MD5, signed, unit length; texts without tokens have no row.
+
+    A trained encoder may take its place through ``encode``. A term is hashed once per worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                ts = tokens(t)
+                if not ts:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                for x in set(ts):
+                    if x not in seen:
+                        h = hashlib.md5(x.encode()).hexdigest()
+                        seen[x] = (int(h[:4], 16) % dim) * 2 + (int(h[4], 16) >= 8)
+                n = np.bincount([seen[x] for x in ts], minlength=2 * dim)
+                at.append(i), rows.append((n[::2] - n[1::2]).astype(np.float64))
+            m = np.array(rows).reshape(-1, dim)
+            m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * dim), pa.array(m.ravel()))], names=[key, "v"])
+
+    rows = texts.select(key, F.col(text).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, v array<double>")
+
+
+def encode_once(texts: DataFrame, text: str, encode: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """V5. (texts with a column v, cache afterwards): each distinct text is encoded once, and not at all where cache (text, v) has it.
+
+    encode takes (text) rows and gives (text, v). The cache grows by what was encoded; the caller keeps it as a table."""
+    asked = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+    todo = asked.join(cache.select("text"), "text", "left_anti") if cache is not None else asked
+    fresh = encode(todo).select("text", "v")
+    known = cache.select("text", "v").unionByName(fresh) if cache is not None else fresh
+    return texts.join(known.withColumnRenamed("text", text), text, "left"), known
 
 
 def encode(texts: DataFrame, key: str, text: str, encoder, dim: int) -> DataFrame:

@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvina.runtime import Scratch
+
+
+#: R1. The scores of a candidate in the order in which they count.
+SCORE_ORDER = ("dense_score", "fusion_score", "score", "sim")
+
 
 def margins(r: DataFrame) -> DataFrame:
-    """R1. (query_id, n, margin): gap between the first two scores, at least 0; infinite for fewer than two candidates."""
-    g = r.filter("rank <= 2").groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"))
+    """R1. (query_id, n, margin): gap between the first two candidates, at least 0; infinite for fewer than two.
+
+    Of the columns of SCORE_ORDER that r has, a candidate's first one that is not null is its score; without any it is 0."""
+    s = F.coalesce(*(F.col(c).cast("double") for c in SCORE_ORDER if c in r.columns), F.lit(0.0))
+    g = r.filter("rank <= 2").select("query_id", "rank", s.alias("s")).groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("s"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("s"))).alias("s2"))
     return g.select("query_id", "n", F.when(F.col("n") < 2, float("inf")).otherwise(F.greatest(F.lit(0.0), F.col("s1") - F.col("s2"))).alias("margin"))
 
 
@@ -21,15 +31,33 @@ def route(r: DataFrame, tau: float = 0.05) -> DataFrame:
     return margins(r).withColumn("decision", F.when(F.col("margin") >= tau, "fast_path").otherwise("escalated"))
 
 
-def rerank(r: DataFrame, scorer: Column, top: int = 20) -> DataFrame:
-    """R2. The first ``top`` candidates by scorer (ties by prior rank), the others behind them as they were, unscored."""
-    s = r.withColumn("rerank_score", F.when(F.col("rank") <= top, scorer))
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def rerank(r: DataFrame, scorer: Column | Scorer, top: int = 20) -> DataFrame:
+    """R2. The first ``top`` candidates by scorer (ties by prior rank), the others behind them as they were, unscored.
+
+    scorer is a column, or a function that adds a column rerank_score to the rows it is given: only the first ``top`` of each
+    list, so that texts are fetched and scored for no others."""
+    head = r.filter(F.col("rank") <= top)
+    head = head.withColumn("rerank_score", scorer) if isinstance(scorer, Column) else scorer(head)
+    s = head.unionByName(r.filter((F.col("rank") > top) | F.col("rank").isNull()).withColumn("rerank_score", F.lit(None).cast("double")))
     order = [F.when(F.col("rank") <= top, 0).otherwise(1), F.desc_nulls_last(F.round("rerank_score", 9)), F.col("rank")]
     return s.withColumn("new_rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
+def cascade(r: DataFrame, scorer: Column | Scorer, tau: float = 0.05, top: int = 20) -> DataFrame:
+    """R1. r with margin, decision, rerank_score and new_rank: lists of sure margin stay as they are, the others are reranked.
+
+    Lists are parted before the scorer, which sees rows of escalated lists alone. r is read three times: pass a table."""
+    j = r.join(route(r, tau).select("query_id", "margin", "decision"), "query_id")
+    fast = j.filter("decision = 'fast_path'").withColumn("rerank_score", F.lit(None).cast("double")).withColumn("new_rank", F.col("rank").cast("int"))
+    return rerank(j.filter("decision = 'escalated'"), scorer, top).unionByName(fast)
+
+
 def score_pairs(pairs: DataFrame, scorer, batch: int = 16) -> DataFrame:
     """R3. (query, text) rows scored by a callable on batches: list of pairs -> list of floats, as a column rerank_score."""
+
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
         both = list(zip(q, t))
@@ -38,10 +66,44 @@ def score_pairs(pairs: DataFrame, scorer, batch: int = 16) -> DataFrame:
     return pairs.withColumn("rerank_score", run("query", "text"))
 
 
-def with_cache(pairs: DataFrame, cache: DataFrame, scorer) -> DataFrame:
-    """R4. Scores from cache (query, doc_id, rerank_score) where it has them; only the others go to the scorer."""
-    known = pairs.join(cache, ["query", "doc_id"])
-    return known.unionByName(score_pairs(pairs.join(cache, ["query", "doc_id"], "left_anti"), scorer))
+def with_cache(pairs: DataFrame, cache: DataFrame, scorer, scratch: Scratch, batch: int = 16) -> tuple[DataFrame, DataFrame]:
+    """R4. (pairs (query, doc_id, text) with rerank_score, cache afterwards): scores come from cache (query, doc_id,
+    rerank_score) where it has them; only other pairs go to the scorer, each once, and their scores join the cache.
+
+    New scores are written before they are used, so that no pair is scored again by a later reader."""
+    asked = pairs.select("query", "doc_id", "text").dropDuplicates(["query", "doc_id"])
+    fresh = scratch.keep(score_pairs(asked.join(cache, ["query", "doc_id"], "left_anti"), scorer, batch).select("query", "doc_id", "rerank_score"))
+    known = cache.select("query", "doc_id", "rerank_score").unionByName(fresh)
+    return pairs.join(known, ["query", "doc_id"]), known
+
+
+def truncate_pair(query: Column, text: Column) -> Column:
+    """T19. Without a tokenizer: pairs of up to 1000 characters pass, of longer ones the text keeps 1500."""
+    n = F.coalesce(F.char_length(query), F.lit(0)) + F.char_length(text)
+    return F.when(n <= 1000, text).otherwise(F.substring(text, 1, 1500))
+
+
+def truncate_pair_tokens(query: Column | str, text: Column | str, load: Callable[[], object], max_length: int) -> Column:
+    """T19. With a tokenizer: of pairs above 1000 characters the text keeps the tokens that max_length leaves beside the query and
+    three marks, at least one character. load() gives an object with encode(text) -> ids and decode(ids) -> text, once per worker."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokenizer = load()
+
+        def cut(q: str | None, t: str | None) -> str | None:
+            if t is None or len(q or "") + len(t) <= 1000:
+                return t
+            room = max_length - len(tokenizer.encode(q or "")) - 3
+            if room <= 0:
+                return t[:1]
+            ids = tokenizer.encode(t)
+            return t if len(ids) <= room else tokenizer.decode(ids[:room]) or t[:1]
+
+        for q, t in parts:
+            yield pd.Series([cut(x, y) for x, y in zip(q, t)], dtype="object")
+
+    return run(query, text)
 
 
 def overlap_score(q_tokens: Column, d_tokens: Column) -> Column:
@@ -128,20 +190,33 @@ def fit_isotonic(df: DataFrame, score: str = "score", label: str = "y"):
     return IsotonicRegression().fit(rows)
 
 
-def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 200, level: float = 0.95) -> DataFrame:
-    """C7, E9. One row (mean, low, high, median, std): percentile interval of the mean.
+def bootstrap(df: DataFrame, values: list[str], key: str, by: list[str] = [], rounds: int = 1000, level: float = 0.95) -> DataFrame:  # noqa: B006
+    """C7, E9. (by, metric, n, mean, low, high, std): percentile interval of the mean of each column of ``values``.
 
-    Each value enters each of the rounds with a Poisson(1) count drawn from a hash, so that rounds need no rows to be gathered
-    or drawn by position: one pass, and the rounds' sums are combined map-side."""
+    Each row enters each of the rounds with a Poisson(1) count drawn from a hash of key and round, so that rounds need no rows to
+    be gathered or drawn by position: one pass, in which the rounds' sums are combined map-side. key must be unique, else rows are
+    drawn together. Sums are decimals of 9 places: the same in whatever order they are added. Null and NaN values do not count."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     edges, cum = [], 0.0
     for n in range(8):
         cum += math.exp(-1) / math.factorial(n)
         edges.append(cum)
-    # the count is the number of cumulative probabilities that u has reached
-    count = F.aggregate(F.array(*map(F.lit, edges)), F.struct(u.alias("u"), F.lit(0).alias("n")), lambda a, e: F.struct(a["u"].alias("u"), (a["n"] + F.when(a["u"] >= e, 1).otherwise(0)).alias("n")), lambda a: a["n"])
-    rows = df.select(F.col(key), F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).withColumn("c", count)
-    means = rows.groupBy("b").agg((F.sum(F.col("x") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
+    count = F.lit(8)
+    for n in range(7, -1, -1):  # the count is the number of cumulative probabilities that u has reached
+        count = F.when(F.col("u") < edges[n], n).otherwise(count)
+    exact = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).cast("decimal(28,9)")
+    rows = df.select(*by, key, F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), exact(v).alias("x")) for v in values))).alias("s")).select(*by, key, "s.*").filter("x IS NOT NULL")
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", u).withColumn("c", count).filter("c > 0")
+    means = drawn.groupBy(*by, "metric", "b").agg((F.sum(F.col("x") * F.col("c")).cast("double") / F.sum("c")).alias("m"))
     a = (1 - level) / 2
-    ci = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.stddev_samp("m").alias("std"))
-    return df.agg(F.avg(value).alias("mean"), F.median(value).alias("median")).crossJoin(ci)
+    ci = means.groupBy(*by, "metric").agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.stddev_samp("m").alias("std"))
+    point = rows.groupBy(*by, "metric").agg(F.count("*").alias("n"), (F.sum("x").cast("double") / F.count("*")).alias("mean"))
+    return point.join(ci, [*by, "metric"])
+
+
+def median(df: DataFrame, value: str, places: int = 6) -> DataFrame:
+    """C7. One row (median): the median of values rounded to ``places``, from counts per distinct value: what one task orders is the
+    distinct values, not the rows. Null and NaN do not count; no rows give null."""
+    x = F.round(F.col(value).cast("double"), places)
+    n = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    return n.agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("median"))

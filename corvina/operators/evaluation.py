@@ -34,6 +34,13 @@ def evaluate(ranks: DataFrame, by: list[str] = [], k: int = 10) -> DataFrame:  #
     return ranks.groupBy(*by).agg(*aggs) if by else ranks.agg(*aggs)
 
 
+def compare(old: DataFrame, new: DataFrame, metrics: list[str]) -> DataFrame:
+    """E12. (metric, old, new, delta, percent) of two one-row results; percent is null where old is 0."""
+    long = lambda df, name: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics))).alias("x")).select("x.*")
+    j = long(old, "old").join(long(new, "new"), "metric")
+    return j.withColumn("delta", F.col("new") - F.col("old")).withColumn("percent", F.when(F.col("old") != 0, (F.col("new") - F.col("old")) / F.nullif("old", F.lit(0.0)) * 100))
+
+
 def rank_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """E8, N11. (query_id, doc_id, old_rank, new_rank, delta, kind): new, gone, changed by 2 or more, or steady."""
     j = a.select("query_id", "doc_id", F.col("rank").alias("old_rank")).join(b.select("query_id", "doc_id", F.col("rank").alias("new_rank")), ["query_id", "doc_id"], "full_outer")

@@ -74,3 +74,8 @@ def restrict(r: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """F8. Only allowed (query_id, doc_id), after ranking, then the first k."""
     s = r.join(allowed, ["query_id", "doc_id"], "left_semi")
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
+
+
+def dense_gate(fused: DataFrame, least: float = 0.2) -> DataFrame:
+    """F9. Fused rows whose dense score is there and at least ``least``; ranks stay, so the gate comes after the cut to k."""
+    return fused.filter(F.col("dense_score").isNotNull() & ~F.isnan("dense_score") & (F.col("dense_score") >= least))

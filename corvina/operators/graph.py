@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.runtime import Scratch
@@ -52,57 +51,93 @@ def reachable(edges: DataFrame, sources: DataFrame, depth: int, scratch: Scratch
     return seen.filter("depth > 0")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """G6, G8. (source, target, path, length): a shortest path within depth, the first in order of names among equals.
+def _smallest(e: DataFrame, front: DataFrame, seen: DataFrame, far: tuple[str, str], step: Column) -> DataFrame:
+    """The next frontier (origin, node, path): nodes not seen before, each with its smallest path."""
+    n = front.join(e, front["node"] == e[far[0]]).select("origin", F.col(far[1]).alias("node"), step.alias("path"))
+    return n.groupBy("origin", "node").agg(F.min("path").alias("path")).join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+
 
-    Of all ways to a node only the smallest path is carried on, so the frontier has a row per (source, node)."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """G6. (source, target, path, length): a shortest path within depth; of all ways to a node only the smallest path is carried
+    on, so the frontier has a row per (source, node). A source is its own target by the path of itself."""
     e = edges.select("src", "dst").distinct()
-    front = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.col("source").alias("path"))
+    front = pairs.select(F.col("source").alias("origin"), F.col("source").alias("node"), F.array("source").alias("path")).distinct()
     seen = front.withColumn("length", F.lit(0))
     for d in range(1, depth + 1):
-        step = front.join(e, front["node"] == e["src"]).select("source", F.col("dst").alias("node"), F.concat_ws(" -> ", "path", "dst").alias("path"))
-        step = step.groupBy("source", "node").agg(F.min("path").alias("path"))
-        front = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        front = _smallest(e, front, seen, ("src", "dst"), F.concat("path", F.array("dst")))
         seen = seen.unionByName(front.withColumn("length", F.lit(d)))
-    return pairs.join(seen.withColumnRenamed("node", "target"), ["source", "target"])
+    found = seen.select(F.col("origin").alias("source"), F.col("node").alias("target"), F.array_join("path", " -> ").alias("path"), "length")
+    return pairs.join(found, ["source", "target"])
+
 
+def meeting_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """G8. (source, target, path, length) as ``shortest_paths``, from both ends: sources go forward half the way, targets back the
+    rest, and the halves meet. Frontiers reach half the depth, which is what saves work on wide graphs.
 
-def pagerank(edges: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 50, tol: float = 1e-5) -> DataFrame:
-    """G9. (node, rank): repeated calls count, nodes without calls spread their rank over all; stops at an L1 change below tol."""
+    The least length over all nodes where halves meet is the shortest; of the paths of that length the smallest that the halves'
+    smallest paths make up is given."""
+    e = edges.select("src", "dst").distinct()
+    reach = {}
+    for end, far, steps in (("source", ("src", "dst"), (depth + 1) // 2), ("target", ("dst", "src"), depth // 2)):
+        front = pairs.select(F.col(end).alias("origin"), F.col(end).alias("node"), F.array(end).alias("path")).distinct()
+        seen = front.withColumn("length", F.lit(0))
+        step = F.concat("path", F.array("dst")) if end == "source" else F.concat(F.array("src"), "path")
+        for d in range(1, steps + 1):
+            front = _smallest(e, front, seen, far, step)
+            seen = seen.unionByName(front.withColumn("length", F.lit(d)))
+        reach[end] = seen.select(F.col("origin").alias(end), "node", F.col("path").alias(f"{end}_path"), F.col("length").alias(f"{end}_length"))
+    met = pairs.distinct().join(reach["source"], "source").join(reach["target"], ["target", "node"])
+    path = F.concat("source_path", F.slice("target_path", F.lit(2), F.size("target_path")))
+    best = met.groupBy("source", "target").agg(F.min(F.struct((F.col("source_length") + F.col("target_length")).alias("length"), path.alias("path"))).alias("x"))
+    return best.select("source", "target", F.array_join("x.path", " -> ").alias("path"), "x.length")
+
+
+def nodes_of(functions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): the nodes of a call graph: every named function, with or without calls, and whatever is called."""
+    return functions.select(F.col("name").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).filter("node IS NOT NULL").distinct()
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 50, tol: float = 1e-5) -> DataFrame:
+    """G9. (node, rank) of all nodes: repeated calls count, nodes without calls spread their rank over all; stops at an L1 change
+    below tol, or after ``rounds``."""
     w = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    w = scratch.keep(w.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("src"))))
-    nodes = scratch.keep(w.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(w.select(F.col("src").alias("node"), F.lit(True).alias("out")).distinct(), "node", "left"))
-    n = nodes.count()
+    w = scratch.keep(w.join(w.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
+    every = nodes.select("node").distinct().join(w.select(F.col("src").alias("node"), F.lit(True).alias("out")).distinct(), "node", "left")
+    every = scratch.keep(every)
+    n = every.count()
     if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = scratch.keep(nodes.select("node", "out", F.lit(1.0 / n).alias("rank")))
+        return every.select("node", F.lit(0.0).alias("rank"))
+    ranks = scratch.keep(every.select("node", "out", F.lit(1.0 / n).alias("rank")))
     for _ in range(rounds):
         lost = ranks.filter("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = w.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         new = ranks.select("node", "out", F.col("rank").alias("old")).join(got, "node", "left").withColumn("rank", F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + lost / n))
         new = scratch.keep(new.select("node", "out", "old", "rank"))
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("node", "out", "rank")
+        scratch.drop(ranks)
+        ranks = new
         if change < tol:
             break
     return ranks.select("node", "rank")
 
 
-def communities(edges: DataFrame, scratch: Scratch, rounds: int = 15) -> DataFrame:
-    """G10. (node, community): label propagation in steps; each node takes its neighbours' commonest label, or keeps its own if
-    that is as common (its own label counts once), the smallest label among equals; communities are numbered by smallest label.
+def communities(edges: DataFrame, nodes: DataFrame, scratch: Scratch, rounds: int = 15) -> DataFrame:
+    """G10. (node, community) of all nodes: label propagation in steps; each node takes its neighbours' commonest label (its own
+    label counts once too), the smallest among equals. A community is named by its smallest member; a node without neighbours is
+    one of its own.
 
-    Steps are taken by all nodes at once. Labels depend on nothing but the graph; a graph whose labels keep alternating ends
-    after ``rounds``."""
-    both = scratch.keep(edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct())
-    labels = scratch.keep(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    Steps are taken by all nodes at once, so the result depends on the graph alone and not on an order of visits; a graph whose
+    labels keep alternating ends after ``rounds``."""
+    both = scratch.keep(edges.select(F.expr("inline(array(struct(src AS a, dst AS b), struct(dst AS a, src AS b)))")).filter("a <> b").distinct())
+    labels = scratch.keep(nodes.select("node").distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").unionByName(labels.select("node", "label"))
         n = votes.groupBy("node", "label").agg(F.count("*").alias("n"))
-        new = scratch.keep(n.groupBy("node").agg(F.min(F.struct(-F.col("n"), "label")).alias("x")).select("node", "x.label"))
+        new = scratch.keep(n.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("x")).select("node", "x.label"))
         moved = new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").limit(1).count()
+        scratch.drop(labels)
         labels = new
         if not moved:
             break
-    number = labels.select("label").distinct().withColumn("community", F.row_number().over(W.orderBy("label")) - 1)
-    return labels.join(number, "label").select("node", "community")
+    name = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(name, "label").select("node", "community")

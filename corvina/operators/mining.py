@@ -39,12 +39,24 @@ def ingest(docs: DataFrame) -> DataFrame:
     return g.select("doc_id", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col("doc_id").cast("string"))).cast("string")).otherwise(F.col("text")).alias("text"))
 
 
-def hard_negatives(ranking: DataFrame, positives: DataFrame, corpus: DataFrame, n: int = 1, depth: int = 50) -> DataFrame:
+def hard_negatives(ranking: DataFrame, positives: DataFrame, corpus: DataFrame, n: int = 1, depth: int = 50, fallback: bool = True) -> DataFrame:
     """M2, M3. (query_id, doc_id, place): of each query's first ``depth`` candidates the first n that are neither a positive nor
-    the same text, trimmed, as one. positives is (query_id, doc_id)."""
+    the same text, trimmed, as one. positives is (query_id, doc_id); a query without positives is asked for all the same.
+
+    With fallback a query of positives or ranking whose candidates are all excluded gets one other document: the first in order of
+    id that is none of its positives, if the corpus has any."""
     text = corpus.select("doc_id", F.md5(F.trim("text")).alias("h"))
     pos = positives.join(text, "doc_id", "left").select("query_id", F.col("doc_id").alias("p"), "h")
     c = ranking.filter(F.col("rank") <= depth).join(text, "doc_id", "left")
     c = c.join(pos.select("query_id", F.col("p").alias("doc_id")), ["query_id", "doc_id"], "left_anti").join(pos.select("query_id", "h"), ["query_id", "h"], "left_anti")
     c = c.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
-    return c.filter(F.col("place") <= n).select("query_id", "doc_id", "place")
+    got = c.filter(F.col("place") <= n).select("query_id", "doc_id", "place")
+    if not fallback:
+        return got
+    most = positives.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    first = corpus.select("doc_id").distinct().orderBy("doc_id").limit(most + 1).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))  # one row, one id more than any query has positives
+    asked = positives.select("query_id").unionByName(ranking.select("query_id")).distinct().join(got.select("query_id").distinct(), "query_id", "left_anti")
+    own = positives.groupBy("query_id").agg(F.collect_set("doc_id").alias("own"))
+    spare = asked.join(own, "query_id", "left").crossJoin(F.broadcast(first))
+    spare = spare.select("query_id", F.get(F.array_except("first", F.coalesce("own", F.array().cast(dict(own.dtypes)["own"]))), F.lit(0)).alias("doc_id"), F.lit(1).alias("place"))
+    return got.unionByName(spare.filter("doc_id IS NOT NULL"))

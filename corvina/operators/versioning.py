@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,35 +18,42 @@ def diff_hashes(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFram
 
 
 class Snapshots:
-    """N2-N4, S10. A table kept as immutable snapshots in a folder; a pointer file names the current one, so that readers never
-    see half a write and no path is overwritten while it is read. A missing or broken pointer reads as empty."""
+    """N2-N4, S10. A table kept as immutable snapshots in a folder: ``snapshot-<n>`` folders, each complete once Spark's _SUCCESS
+    mark is in it. The highest complete number is the current one, so there is no pointer that could be lost: a write that dies
+    leaves an unmarked folder, and readers keep the snapshot before. Only a folder without any complete snapshot reads as empty;
+    every other failure is raised. ``keep`` older snapshots stay for readers that have begun."""
 
-    def __init__(self, spark: SparkSession, base: str, schema: str):
-        self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, base: str, schema: str, keep: int = 2):
+        self.spark, self.base, self.schema, self.keep = spark, base.rstrip("/"), schema, keep
 
     def _fs(self):
-        j = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
-        return j.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        p = self._path("")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
+
+    def numbers(self) -> tuple[list[int], int]:
+        """Numbers of the complete snapshots, ascending, and the highest number in use, complete or not."""
+        fs = self._fs()
+        if not fs.exists(self._path("")):
+            return [], 0
+        names = [f.getPath().getName() for f in fs.listStatus(self._path(""))]
+        found = sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-") and n.removeprefix("snapshot-").isdigit())
+        return [n for n in found if fs.exists(self._path(f"snapshot-{n}/_SUCCESS"))], max(found, default=0)
 
     def read(self) -> DataFrame:
-        try:
-            name = self.spark.read.text(f"{self.base}/CURRENT").first()[0]
-            return self.spark.read.schema(self.schema).parquet(f"{self.base}/{name}")
-        except Exception:
+        done, _ = self.numbers()
+        if not done:
             return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/snapshot-{done[-1]}")
 
     def write(self, df: DataFrame) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.base}/{name}")
-        fs, tmp = self._fs(), self._path(f".{name}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        fs.delete(self._path("CURRENT"), False)
-        fs.rename(tmp, self._path("CURRENT"))
+        """df as the next snapshot; of two writers of one number the later fails. Snapshots beyond ``keep`` older ones go."""
+        _, last = self.numbers()
+        df.write.mode("error").parquet(f"{self.base}/snapshot-{last + 1}")
+        for n in self.numbers()[0][: -1 - self.keep]:
+            self._fs().delete(self._path(f"snapshot-{n}"), True)
 
 
 def update_index(index: DataFrame, corpus: DataFrame, encode, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -70,10 +75,10 @@ def unique_chunks(df: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def near_pairs(df: DataFrame, tau: float, key: str = "id") -> DataFrame:
-    """N6. (a, b, score) of all vectors whose cosine reaches tau, a < b; blocks against blocks, exact."""
-    all_ = df.select(F.col(key).alias("id"), "v")
-    got = vectors.top_k(all_.withColumnRenamed("id", "qid"), all_, None)
-    return got.filter((F.col("qid") < F.col("id")) & (F.col("score") >= tau)).select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
+    """N6. (a, b, score) of all vectors whose cosine reaches tau, a < b; blocks against blocks, exact. The threshold is applied
+    within the product, so that only pairs that reach it leave it."""
+    got = vectors.pairs_above(df.select(F.col(key).alias("id"), "v"), tau)
+    return got.select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
 
 
 def clusters(ids: DataFrame, pairs: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
@@ -90,6 +95,8 @@ def clusters(ids: DataFrame, pairs: DataFrame, scratch: Scratch, rounds: int = 5
         labels = new
         if not moved:
             break
+    else:
+        raise RuntimeError(f"clusters not stable after {rounds} rounds")
     return ids.select("id").join(labels, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
@@ -99,9 +106,17 @@ def collapse(members: DataFrame) -> DataFrame:
     return g.select("cluster", F.col("m.id").alias("canonical"), "size", F.concat(F.array("m.id"), F.array_except("ids", F.array("m.id"))).alias("versions"))
 
 
-def compact(entries: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> DataFrame:
-    """N8. Entries without the deleted ones."""
-    return entries.join(tombstones.select(key).distinct(), key, "left_anti")
+def is_deleted(entries: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> DataFrame:
+    """N8. Entries with a column ``deleted``: whether a tombstone names them."""
+    return entries.join(tombstones.select(key).distinct().withColumn("deleted", F.lit(True)), key, "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+
+
+def compact(entries: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """N8. (entries without the deleted ones, one row (purged) that counts those, tombstones afterwards: none).
+
+    A tombstone that names no entry, or names one twice, purges nothing more. The caller writes all three, the entries first."""
+    marked = is_deleted(entries, tombstones, key)
+    return marked.filter("NOT deleted").drop("deleted"), marked.agg(F.count(F.when(F.col("deleted"), 1)).alias("purged")), tombstones.limit(0)
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvina.functions import code_meta, codec, text, vectors
+from corvina.functions import code_meta, codec, text, tokens, vectors
 from corvina.operators import agentic, calibration, evaluation, fusion, graph, lexical, mining, versioning
 from corvina.plans import sqltext as s
 from corvina.runtime import Scratch, load
@@ -93,7 +93,7 @@ def _(sp, d):
 def _(sp, d):
     from corvina.sources.io import function_corpus
 
-    files = _corpus(sp, d).filter("text LIKE '%function%'").select(F.col("doc_id").alias("path"), "text")
+    files = _corpus(sp, d).select(F.col("doc_id").alias("path"), "text")
     return function_corpus(files).select("doc_id", "start_line", "end_line", F.md5("text").alias("h"))
 
 
@@ -137,23 +137,16 @@ def _(sp, d):
     return load(sp, d, "documents").select("doc_id", text.content_hash("text").alias("h"))
 
 
-@query("T10_T11_postings_codec", f"WITH {s.CORPUS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, text FROM corpus), p AS (SELECT DISTINCT n, unnest({s.mining('text')}) AS term FROM o), g AS (SELECT term, n - coalesce(lag(n) OVER (PARTITION BY term ORDER BY n), 0) AS gap FROM p) SELECT term, count(*) AS n_docs, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END)::BIGINT AS n_bytes, true AS round_trip FROM g GROUP BY 1")
+@query("T10_T11_postings_codec", f"WITH p AS (SELECT DISTINCT pair_id AS n, unnest({s.mining('code')}) AS term FROM download), g AS (SELECT term, n // 4096 AS block, n - lag(n) OVER (PARTITION BY term, n // 4096 ORDER BY n) AS gap, n FROM p) SELECT term, block, count(*) AS n, min(n) AS first, sum(CASE WHEN coalesce(gap, n) < 128 THEN 1 WHEN coalesce(gap, n) < 16384 THEN 2 WHEN coalesce(gap, n) < 2097152 THEN 3 ELSE 4 END)::BIGINT AS n_bytes FROM g GROUP BY 1, 2")
 def _(sp, d):
-    c = _corpus(sp, d)
-    p = _numbered(c).select("n", F.explode(F.array_distinct(text.mining_tokens("text"))).alias("term"))
-    a = p.groupBy("term").agg(F.array_sort(F.collect_list("n")).alias("ids"))
-    a = a.withColumn("code", codec.vbyte_encode(codec.gaps(F.col("ids"))))
-    a = a.select("term", "ids", F.length("code").cast("bigint").alias("n_bytes"), codec.vbyte_decode("code").alias("decoded"))
-    return a.select("term", F.size("ids").cast("bigint").alias("n_docs"), "n_bytes", (codec.from_gaps(F.col("decoded")) == F.col("ids")).alias("round_trip"))
+    p = load(sp, d, "download").select("pair_id", F.explode(F.array_distinct(text.mining_tokens("code"))).alias("term"))
+    return codec.postings_blocks(p, "term", "pair_id").select("term", big("block"), big("n"), "first", F.length("code").cast("bigint").alias("n_bytes"))
 
 
-def _numbered(c: DataFrame, prefix: int = 3) -> DataFrame:
-    """Rows with n, their number from 1 in order of doc_id: the rank within a prefix of the id, after the rows of the prefixes before."""
-    k = F.substring("doc_id", 1, prefix)
-    per = c.groupBy(k.alias("k")).agg(F.count("*").alias("m"))
-    off = per.withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("k", "before")  # a row per prefix
-    r = c.withColumn("k", k).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("doc_id")))
-    return r.join(off, "k").select(*c.columns, (F.col("before") + F.col("r")).cast("bigint").alias("n"))
+@query("T10_T11_round_trip", f"SELECT DISTINCT unnest({s.mining('code')}) AS term, pair_id FROM download")
+def _(sp, d):
+    p = load(sp, d, "download").select("pair_id", F.explode(F.array_distinct(text.mining_tokens("code"))).alias("term"))
+    return codec.postings_of(codec.postings_blocks(p, "term", "pair_id"), "term", "pair_id")
 
 
 @query("T12_sanitize_query", "SELECT pair_id, regexp_replace(regexp_replace(query, '[^\\P{C}\\n\\t]|[^\\P{Z} ]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g') AS query FROM download")
@@ -194,18 +187,17 @@ def _(sp, d):
     return load(sp, d, "download").select("pair_id", text.complexity("code").alias("c")).select("pair_id", *[F.col(f"c.{k}").cast("bigint").alias(k) for k in ("cyclomatic", "depth", "lines", "branches")])
 
 
-@query("T18_T19_snippets", "SELECT pair_id, md5(array_to_string(string_split(coalesce(code, ''), chr(10))[2:4], chr(10))) AS lines, length(CASE WHEN length(code) <= 1000 THEN code ELSE substr(code, 1, 1500) END) AS kept FROM download")
+@query("T18_T19_snippets", "SELECT pair_id, md5(array_to_string(string_split(coalesce(code, ''), chr(10))[2:4], chr(10))) AS lines, length(CASE WHEN coalesce(length(query), 0) + length(code) <= 1000 THEN code ELSE substr(code, 1, 1500) END) AS kept FROM download")
 def _(sp, d):
     p = load(sp, d, "download")
-    return p.select("pair_id", F.md5(text.snippet(F.coalesce("code", F.lit("")), F.lit(2), F.lit(4))).alias("lines"), F.char_length(text.truncate_pair("code")).cast("bigint").alias("kept"))
+    return p.select("pair_id", F.md5(text.snippet(F.coalesce("code", F.lit("")), F.lit(2), F.lit(4))).alias("lines"), F.char_length(calibration.truncate_pair(F.col("query"), F.col("code"))).cast("bigint").alias("kept"))
 
 
 # --- lexical ---------------------------------------------------------------------------------------------------------
-def _bm25(sp, d, tok=text.tokenize_code, weighted=False, counted=False, least=0, corpus=None):
-    index = lexical.build(corpus if corpus is not None else _corpus(sp, d), tok("text"), least_length=least, scratch=Scratch(sp, "index"))
-    if weighted:
-        index = (lexical.weigh(index[0]), index[1])
-    return lexical.search(lexical.query_terms(_questions(sp, d), tok("query"), counted=counted), index)
+def _search(sp, d, k, tok=tokens.CodeTokens, weights=None, counted=False, least=0):
+    sc = Scratch(sp, "lexical")
+    index = lexical.build(_corpus(sp, d), tok(), sc, least_length=least)
+    return lexical.search(lexical.query_terms(_questions(sp, d), tok(), counted=counted), index, k, sc, weights=weights)
 
 
 def _out(r):
@@ -217,29 +209,31 @@ _BM = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({})"
 
 @query("L1_index_stats", f"WITH {s.CORPUS}, t AS (SELECT doc_id, {s.tokens('text')} AS t FROM corpus), u AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM u GROUP BY 1")
 def _(sp, d):
-    return lexical.build(_corpus(sp, d), text.tokenize_code("text"))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return lexical.postings(_corpus(sp, d), tokens.CodeTokens()).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @query("L2_bm25", f"WITH {s.bm25()} " + _BM.format(s.rank("scores", 10)))
 def _(sp, d):
-    return _out(lexical.ranked(_bm25(sp, d), 10))
+    return _out(_search(sp, d, 10))
 
 
 @query("L3_weighted_bm25", f"WITH {s.bm25(weight=f'CASE WHEN term IN ({s.KEYS}) THEN 0.5 ELSE 2.5 END')} " + _BM.format(s.rank("scores", 10)))
 def _(sp, d):
-    return _out(lexical.ranked(_bm25(sp, d, weighted=True), 10))
+    return _out(_search(sp, d, 10, weights=lexical.CODE_WEIGHTS))
 
 
 @query("L4_mining_bm25", f"WITH {s.bm25(s.mining, counted=True, least=1)} " + _BM.format(s.rank("scores", 50)))
 def _(sp, d):
-    return _out(lexical.ranked(_bm25(sp, d, text.mining_tokens, counted=True, least=1), 50))
+    return _out(_search(sp, d, 50, tokens.MiningTokens, counted=True, least=1))
 
 
 @query("L5_maintained_bm25", "WITH " + s.bm25(corpus=s.CORPUS.replace("corpus AS (", "c0 AS (") + ", corpus AS (SELECT doc_id, CASE WHEN length(doc_id) % 3 = 0 THEN text || ' refreshed' ELSE text END AS text FROM c0 WHERE right(doc_id, 1) <> '7')") + " " + _BM.format(s.rank("scores", 10)))
 def _(sp, d):
-    c = _corpus(sp, d)
+    """An index of the whole corpus, brought up to date by the removed and the changed texts alone."""
+    sc, c = Scratch(sp, "maintained"), _corpus(sp, d)
     up = c.filter("length(doc_id) % 3 = 0 AND right(doc_id, 1) <> '7'").withColumn("text", F.concat("text", F.lit(" refreshed")))
-    return _out(lexical.ranked(_bm25(sp, d, corpus=lexical.maintain(c, up, c.filter("right(doc_id, 1) = '7'"))), 10))
+    index = lexical.maintain(lexical.build(c, tokens.CodeTokens(), sc), c.filter("right(doc_id, 1) = '7'"), up, tokens.CodeTokens(), sc)
+    return _out(lexical.search(lexical.query_terms(_questions(sp, d), tokens.CodeTokens()), index, 10, sc))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
@@ -272,12 +266,12 @@ def _(sp, d):
     return vectors.top_k(*_vecs(sp, d), None).select("qid", "id", r6("score"), big("rank"))
 
 
-@query("V6_maxsim", f"WITH {s.VECS}, g AS (SELECT label, vec_id // 8 AS doc, v FROM unit), qs AS (SELECT vec_id // 8 AS q, v FROM unit WHERE vec_id // 8 % 50 = 0), m AS (SELECT q, doc, qs.v, max(list_dot_product(qs.v, g.v)) AS best FROM qs, g GROUP BY 1, 2, 3) SELECT q, doc, round(sum(best), 5) AS score FROM m GROUP BY 1, 2")
+@query("V6_maxsim", f"WITH {s.VECS}, g AS (SELECT label, vec_id // 8 AS doc, v FROM unit), qs AS (SELECT vec_id // 8 AS q, v FROM unit WHERE vec_id // 8 % 50 = 0), m AS (SELECT q, doc, qs.v, max(list_dot_product(qs.v, g.v)) AS best FROM qs, g GROUP BY 1, 2, 3), sc AS (SELECT q, doc, sum(best) AS score FROM m GROUP BY 1, 2) SELECT q, doc, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc) AS rank FROM sc) WHERE rank <= 50")
 def _(sp, d):
-    t = load(sp, d, "embeddings").select((F.expr("vec_id DIV 8")).alias("doc"), vectors.normalize("embedding").alias("v"))
-    t = t.groupBy("doc").agg(F.collect_list("v").alias("vs"))  # token vectors of one text: 8
-    q = t.filter("doc % 50 = 0").select(F.col("doc").alias("q"), F.col("vs").alias("qs"))
-    return q.crossJoin(t).select("q", "doc", F.round(vectors.maxsim(F.col("qs"), F.col("vs")), 5).alias("score"))  # a stated query set
+    t = load(sp, d, "embeddings").select((F.expr("vec_id DIV 8")).alias("id"), vectors.normalize("embedding").alias("v"))
+    t = t.groupBy("id").agg(F.collect_list("v").alias("vs"))  # token vectors of one text: 8
+    r = vectors.maxsim_top_k(t.filter("id % 50 = 0").withColumnRenamed("id", "qid"), t, 50)
+    return r.select(F.col("qid").alias("q"), F.col("id").alias("doc"), F.round("score", 5).alias("score"), big("rank"))
 
 
 @query("V7_centroids", "WITH p AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(64)) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM p GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1) SELECT label, pos, round(x / greatest(n, 1e-12), 6) AS x FROM m JOIN n USING (label)")
@@ -289,10 +283,23 @@ def _(sp, d):
 _HASHV = "b AS (SELECT {key}, ('0x' || substr(md5(t), 1, 4))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS s FROM tk GROUP BY 1, 2), n AS (SELECT {key}, sqrt(sum(s * s)) AS n FROM b GROUP BY 1)"
 
 
+def _encoded(sp, d):
+    return vectors.hash_encode(_corpus(sp, d), "doc_id", "text", tokens.CodeTokens())
+
+
 @query("V1_hash_encode", f"WITH {s.CORPUS}, tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus), {_HASHV.format(key='doc_id')} SELECT doc_id, b AS pos, round(s / greatest(n, 1e-12), 6) AS x FROM b JOIN n USING (doc_id) WHERE s <> 0")
 def _(sp, d):
-    v = vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text"))
-    return v.select("doc_id", F.posexplode("v").alias("pos", "x")).filter("x <> 0").select("doc_id", big("pos"), F.round("x", 6).alias("x"))
+    return _encoded(sp, d).select("doc_id", F.posexplode("v").alias("pos", "x")).filter("x <> 0").select("doc_id", big("pos"), F.round("x", 6).alias("x"))
+
+
+@query("V5_encode_once", f"WITH t AS (SELECT pair_id, query FROM download WHERE query IS NOT NULL), tk AS (SELECT query, unnest({s.tokens('query')}) AS t FROM (SELECT DISTINCT query FROM t)), {_HASHV.format(key='query')} SELECT pair_id, round(sum(abs(s)) / greatest(any_value(n), 1e-12), 6) AS total FROM t JOIN b USING (query) JOIN n USING (query) GROUP BY pair_id")
+def _(sp, d):
+    """Vectors of all queries; each distinct text is encoded once, and none that a cache from a first run over half of them has."""
+    q = load(sp, d, "download").filter("query IS NOT NULL").select("pair_id", "query")
+    enc = lambda t: vectors.hash_encode(t.select("text", F.col("text").alias("x")), "text", "x", tokens.CodeTokens())
+    _, cache = vectors.encode_once(q.filter("pair_id % 2 = 0"), "query", enc)
+    got, _ = vectors.encode_once(q, "query", enc, Scratch(sp, "vectors").keep(cache))
+    return got.filter("v IS NOT NULL").select("pair_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
 
 
 _HDENSE = f"""tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus), tq AS (SELECT query_id, unnest({s.tokens('query')}) AS t FROM q),
@@ -304,12 +311,10 @@ _HDENSE = f"""tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus)
 
 
 def _hash_dense(sp, d, k):
-    """Dense ranking of the corpus by the stand-in encoder; texts get numbers for the matrix product."""
-    sc = Scratch(sp, "dense")
-    c = sc.keep(vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text")))
-    c = sc.keep(_numbered(c).withColumnRenamed("n", "id"))
-    q = vectors.hash_encode(_questions(sp, d), "query_id", text.tokenize_code("query")).withColumnRenamed("query_id", "qid")
-    return vectors.top_k(q, c, k).join(c.select("id", "doc_id"), "id").select(F.col("qid").alias("query_id"), "doc_id", "score", "rank")
+    """Dense ranking of the corpus by the stand-in encoder."""
+    q = vectors.hash_encode(_questions(sp, d), "query_id", "query", tokens.CodeTokens()).withColumnRenamed("query_id", "qid")
+    r = vectors.top_k(q, _encoded(sp, d).withColumnRenamed("doc_id", "id"), k)
+    return r.select(F.col("qid").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("hybrid_search", f"""WITH {s.bm25()}, {_HDENSE}, sp AS ({s.rank('scores', 50)}), de AS ({s.rank('dscore', 50)}),
@@ -318,7 +323,7 @@ def _hash_dense(sp, d, k):
   SELECT query_id, doc_id, round(score, 6) AS score, rank, dense_score, sparse_score, sources FROM ({s.rank('f', 10, extra='best, ')})""")
 def hybrid_search(sp, d):
     """F7. Dense and lexical search fused by weighted reciprocal ranks, with provenance."""
-    sparse = lexical.ranked(_bm25(sp, d), 50).withColumn("source", F.lit("sparse"))
+    sparse = _search(sp, d, 50).withColumn("source", F.lit("sparse"))
     both = Scratch(sp, "hybrid").keep(_hash_dense(sp, d, 50).withColumn("source", F.lit("dense")).unionByName(sparse))
     f = fusion.provenance(fusion.rrf(both, {"dense": 0.85, "sparse": 0.15}, 20, 10), both)
     return f.select("query_id", "doc_id", r6("score"), big("rank"), r6("dense_score"), r6("sparse_score"), "sources")
@@ -334,26 +339,43 @@ def _(sp, d):
 
 @query("V13_best_per_cluster", f"WITH {s.DENSE}, x AS (SELECT d.qid, b.label, max(d.score) AS score, arg_max(d.id, (d.score, -d.id)) AS best FROM dense d JOIN embeddings b ON b.vec_id = d.id GROUP BY 1, 2) SELECT qid, label, best, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS rank FROM x")
 def _(sp, d):
+    g = vectors.best_per_label(*_vecs(sp, d))
+    return g.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "label"))).select("qid", "label", F.col("id").alias("best"), r6("score"), big("rank"))
+
+
+@query("V14_naive_ranking", f"WITH {s.DENSE} SELECT qid, id, label, round(score, 6) AS score, rank FROM (SELECT dense.qid, dense.id, dense.score, label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dense JOIN embeddings ON vec_id = id) WHERE rank <= 10")
+def _(sp, d):
+    """The ranking without collapsing, versions included, to be compared with V9 and V13."""
     q, e = _vecs(sp, d)
-    r = vectors.top_k(q, e, None).join(e.select("id", "label"), "id")
-    g = r.groupBy("qid", "label").agg(F.max("score").alias("score"), F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
-    return g.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "label"))).select("qid", "label", "best", r6("score"), big("rank"))
+    return vectors.top_k(q, e, 10).join(e.select("id", "label"), "id").select("qid", "id", "label", r6("score"), big("rank"))
 
 
-@query("V10_strong_matches", f"WITH {s.DENSE} SELECT qid, id, round(score, 6) AS score, rank, score >= 0.2 AS strong FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dense) WHERE rank <= 20")
+@query("V10_strong_matches", f"WITH {s.DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dense), m AS (SELECT qid, CASE WHEN count(*) < 2 OR max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) >= 0.08 THEN 'fast_path' ELSE 'escalated' END AS decision FROM r GROUP BY 1) SELECT qid, id, round(score, 6) AS score, rank, score >= 0.2 AS strong, decision, CASE WHEN max(score) OVER (PARTITION BY qid) >= 0.2 THEN 'found' ELSE 'weak' END AS status FROM r JOIN m USING (qid) WHERE rank <= 20")
 def _(sp, d):
-    return vectors.top_k(*_vecs(sp, d), 20).select("qid", "id", r6("score"), big("rank"), (F.col("score") >= 0.2).alias("strong"))
+    r = Scratch(sp, "strong").keep(vectors.top_k(*_vecs(sp, d), 20))
+    to = calibration.route(r.withColumnRenamed("qid", "query_id"), 0.08).select(F.col("query_id").alias("qid"), "decision")
+    status = F.when(F.max("score").over(W.partitionBy("qid")) >= 0.2, "found").otherwise("weak")
+    return r.join(to, "qid").select("qid", "id", r6("score"), big("rank"), (F.col("score") >= 0.2).alias("strong"), "decision", status.alias("status"))
+
+
+_HYDE = f"""WITH {s.CORPUS}, a AS (SELECT pair_id, {_TRIMQ} AS q FROM download WHERE pair_id % 50 = 0 AND trim(query) <> ''), b0 AS (SELECT pair_id, q, {_SNAKE.format(q='q')} AS n FROM a WHERE q <> ''),
+  parts AS (SELECT pair_id, 0 AS pos, q AS x FROM b0 UNION ALL SELECT pair_id, 1, {_PYQ} FROM b0 UNION ALL SELECT pair_id, 2, {_JSQ} FROM b0),
+  tq AS (SELECT pair_id, pos, unnest({s.tokens('x')}) AS t FROM parts), tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus),
+  qb0 AS (SELECT pair_id, pos, ('0x' || substr(md5(t), 1, 4))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS s FROM tq GROUP BY 1, 2, 3),
+  qn0 AS (SELECT pair_id, pos, greatest(sqrt(sum(s * s)), 1e-12) AS n FROM qb0 GROUP BY 1, 2), qb AS (SELECT pair_id, b, sum(s / n) AS s FROM qb0 JOIN qn0 USING (pair_id, pos) GROUP BY 1, 2),
+  qn AS (SELECT pair_id, greatest(sqrt(sum(s * s)), 1e-12) AS n FROM qb GROUP BY 1),
+  db AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 4))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS s FROM tk GROUP BY 1, 2), dn AS (SELECT doc_id, greatest(sqrt(sum(s * s)), 1e-12) AS n FROM db GROUP BY 1),
+  sc AS (SELECT pair_id AS query_id, doc_id, round(sum(qb.s * db.s) / any_value(qn.n) / any_value(dn.n), 9) + 0.0 AS score FROM qb JOIN db USING (b) JOIN qn USING (pair_id) JOIN dn USING (doc_id) GROUP BY 1, 2)
+  SELECT query_id AS qid, doc_id, round(score, 6) AS score, rank FROM ({s.rank('sc', 10)})"""
 
 
-@query("V8_hyde_search")
+@query("V8_hyde_search", _HYDE)
 def _(sp, d):
     """Search by the mean vector of a query and its hypothetical snippets."""
     t = _questions(sp, d).select("query_id", F.posexplode(text.hyde_queries("query")).alias("pos", "x")).withColumn("k", F.col("query_id") * 4 + F.col("pos"))
-    v = vectors.hash_encode(t, "k", text.tokenize_code("x")).withColumn("qid", F.expr("k DIV 4"))
-    sc = Scratch(sp, "hyde")
-    c = sc.keep(vectors.hash_encode(_corpus(sp, d), "doc_id", text.tokenize_code("text")))
-    c = sc.keep(_numbered(c).withColumnRenamed("n", "id"))
-    return vectors.top_k(vectors.centroid(v, "qid", "v"), c, 10).join(c.select("id", "doc_id"), "id").select("qid", "doc_id", r6("score"), big("rank"))
+    v = vectors.hash_encode(t, "k", "x", tokens.CodeTokens()).withColumn("qid", F.expr("k DIV 4"))
+    r = vectors.top_k(vectors.centroid(v, "qid", "v"), _encoded(sp, d).withColumnRenamed("doc_id", "id"), 10)
+    return r.select("qid", F.col("id").alias("doc_id"), r6("score"), big("rank"))
 
 
 # --- fusion ----------------------------------------------------------------------------------------------------------
@@ -393,10 +415,11 @@ def _(sp, d):
     return _fused(fusion.restrict(fusion.rrf(r, _WEIGHTS), r.filter("source = 'hybrid'").select("query_id", "doc_id"), 10))
 
 
-@query("F9_dense_gate", f"WITH {s.RANKS} SELECT query_id, doc_id, round(score, 6) AS dense_score FROM r0 WHERE source <> 'sparse' AND score >= 0.2 AND NOT isnan(score)")
+@query("F9_dense_gate", f"WITH {s.RANKS}, w AS (SELECT query_id, source, doc_id, rank, score FROM r0), f AS (SELECT query_id, doc_id, sum({_WEIGHT} / (60 + rank)) AS score, min(rank) AS best, max(CASE WHEN source = 'dense' THEN score END) AS dense_score FROM w GROUP BY 1, 2), t AS (SELECT query_id, doc_id, rank, dense_score FROM ({s.rank('f', 10, extra='best, ')})) SELECT query_id, doc_id, rank, round(dense_score, 6) AS dense_score FROM t WHERE dense_score >= 0.2 AND NOT isnan(dense_score)")
 def _(sp, d):
-    r = _first(sp, d).filter("source <> 'sparse' AND score >= 0.2 AND NOT isnan(score)")
-    return r.select("query_id", "doc_id", F.round("score", 6).alias("dense_score"))
+    r = Scratch(sp, "gate").keep(_rankings(sp, d))
+    top = fusion.provenance(fusion.rrf(r, _WEIGHTS, 60, 10), r)
+    return fusion.dense_gate(top, 0.2).select("query_id", "doc_id", big("rank"), r6("dense_score"))
 
 
 # --- query understanding ---------------------------------------------------------------------------------------------
@@ -415,13 +438,13 @@ def _(sp, d):
 
 
 _DENSITY = r"""WITH a AS (SELECT pair_id, list_filter(string_split_regex(coalesce(query, ''), '\s+'), lambda x: x <> '') AS t FROM download), b AS (SELECT pair_id, len(t) AS n, len(list_filter(t, lambda x: regexp_matches(x, '[_(){}\[\]:;=\-><.&|!@#$%^*]') OR regexp_matches(x, '(?i)^(def|class|function|return|import|export|from|async|await|const|let|var|if|else|for|while|try|catch|except|raise|throw)$') OR regexp_matches(x, '[0-9][a-zA-Z]|[a-zA-Z][0-9]|[A-Z]{2,}[A-Z][a-z]|[a-z0-9][A-Z]'))) AS h FROM a), c AS (SELECT pair_id, CASE WHEN n > 0 THEN h / n ELSE 0.0 END AS density FROM b)
- SELECT pair_id, round(density, 6) AS density, round(greatest(0.4, least(0.85, 0.85 - density * 0.45)), 3) AS dense_weight FROM c"""
+ SELECT pair_id, round(density, 6) AS density, round_even(round(greatest(0.4, least(0.85, 0.85 - density * (0.85 - 0.4))), 9), 4) AS dense, round_even(round(1 - greatest(0.4, least(0.85, 0.85 - density * (0.85 - 0.4))), 9), 4) AS sparse FROM c"""
 
 
 @query("Q2_Q3_adaptive_weights", _DENSITY)
 def _(sp, d):
-    w = load(sp, d, "download").select("pair_id", text.syntax_density("query").alias("density"))
-    return w.select("pair_id", r6("density"), F.round(F.greatest(F.lit(0.4), F.least(F.lit(0.85), 0.85 - F.col("density") * 0.45)), 3).alias("dense_weight"))
+    w = load(sp, d, "download").select("pair_id", text.syntax_density("query").alias("density"), text.adaptive_weights("query").alias("w"))
+    return w.select("pair_id", r6("density"), "w.dense", "w.sparse")
 
 
 @query("Q4_agent_intent", "SELECT pair_id, CASE WHEN regexp_matches(lower(query), 'call|before|path|chain|flow|reaches') THEN 'structural' WHEN regexp_matches(lower(query), 'where is|used|deeplink|uri|location|find use') THEN 'usage' ELSE 'semantic' END AS intent FROM download")
@@ -429,7 +452,14 @@ def _(sp, d):
     return load(sp, d, "download").select("pair_id", text.agent_intent("query").alias("intent"))
 
 
-@query("Q5_usages", f"WITH {s.CORPUS}, l AS (SELECT doc_id AS path, string_split(text, chr(10)) AS ls FROM corpus), m AS (SELECT path, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l), h AS (SELECT *, contains(lower(line), 'const')::INT + contains(lower(line), 'lantern')::INT AS hits FROM m), x AS (SELECT path, greatest(1, pos - 1) AS start_line, least(n, pos + 5) AS end_line, hits + CASE WHEN regexp_matches(line, 'function|class|async|const|let') THEN 1.5 ELSE 0.0 END AS score FROM h WHERE hits > 0), y AS (SELECT *, row_number() OVER (PARTITION BY path, start_line ORDER BY score DESC, end_line) AS r FROM x) SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, score::DOUBLE AS score FROM y WHERE r = 1")
+_USAGES = "{corpus}, l AS (SELECT doc_id AS path, string_split(text, chr(10)) AS ls FROM corpus), m AS (SELECT path, ls, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l), h AS (SELECT *, {hits} AS hits FROM m), x AS (SELECT path, ls, greatest(1, pos - 1) AS start_line, least(n, pos + 5) AS end_line, hits + CASE WHEN regexp_matches(line, 'function|class|async|const|let') THEN 1.5 ELSE 0.0 END + CASE WHEN contains(path, 'tools/') THEN 0.5 ELSE 0.0 END AS score FROM h WHERE hits > 0), y AS (SELECT *, row_number() OVER (PARTITION BY path, start_line ORDER BY score DESC, end_line) AS r FROM x)"
+
+
+def _usages_sql(*terms: str) -> str:
+    return _USAGES.format(corpus=s.CORPUS, hits=" + ".join(f"contains(lower(line), '{t}')::INT" for t in terms))
+
+
+@query("Q5_usages", f"WITH {_usages_sql('const', 'lantern')} SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, score::DOUBLE AS score FROM y WHERE r = 1")
 def _(sp, d):
     files = _corpus(sp, d).select(F.col("doc_id").alias("path"), "text")
     return agentic.usages(files, ["const", "lantern"]).select("path", big("start_line"), big("end_line"), "score")
@@ -445,10 +475,20 @@ def _(sp, d):
     return load(sp, d, "download").select("pair_id", agentic.advice(F.coalesce("code", F.lit(""))).alias("advice"))
 
 
-@query("Q9_ask")
+_ADVICE = r"concat_ws(',', CASE WHEN 1 + coalesce(list_sum(list_transform(list_filter(string_split_regex({c}, '\r\n|\r|\n'), lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '^\s*(#|//)')), lambda x: len(regexp_extract_all(x, '\b(if|elif|else\s+if|for|while|case|catch|except|&&|\|\||\?)\b')))), 0) > 5 THEN 'refactor' END, CASE WHEN len(regexp_extract_all({c}, 'await')) >= 2 AND NOT contains({c}, 'Promise.all') THEN 'parallel' END, CASE WHEN contains({c}, 'verifySession') THEN 'cache' END)"
+
+
+@query("Q9_ask", f"WITH {_usages_sql('lantern')}, z AS (SELECT *, array_to_string(ls[start_line:end_line], chr(10)) AS c FROM y WHERE r = 1) SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, score::DOUBLE AS score, CASE WHEN {_ADVICE.format(c='c')} = '' THEN 'optimal' ELSE {_ADVICE.format(c='c')} END AS advice FROM z")
 def _(sp, d):
     files = _corpus(sp, d).select(F.col("doc_id").alias("path"), "text")
-    return agentic.ask(files, load(sp, d, "parsed_functions"), "where is lantern used")
+    return agentic.ask(files, load(sp, d, "parsed_functions"), "where is lantern used").select("path", big("start_line"), big("end_line"), "score", "advice")
+
+
+@query("Q9_ask_order", "SELECT file AS path, start_line::BIGINT AS start_line, coalesce(end_line, start_line + 10)::BIGINT AS end_line, 1.0::DOUBLE AS score, 'optimal' AS advice FROM parsed_functions WHERE list_position(list_transform(calls, lambda c: contains(lower(c), 'a')), true) > 0 AND list_position(list_transform(calls, lambda c: contains(lower(c), 'o')), true) > list_position(list_transform(calls, lambda c: contains(lower(c), 'a')), true) GROUP BY ALL")
+def _(sp, d):
+    """A question on call order; the functions' files have no texts here."""
+    files = sp.createDataFrame([], "path string, text string")
+    return agentic.ask(files, load(sp, d, "parsed_functions"), "which functions call a before o").select("path", big("start_line"), big("end_line"), "score", "advice")
 
 
 # --- routing and calibration -----------------------------------------------------------------------------------------
@@ -458,17 +498,54 @@ def _(sp, d):
     return r.select("query_id", "n", F.when(F.col("n") < 2, -1.0).otherwise(F.round("margin", 6)).alias("margin"), "decision")
 
 
-def _rerank_sql() -> str:
-    return f"""WITH {s.bm25()}, b AS ({s.rank('scores', 50)}), qs AS (SELECT query_id, list_distinct({s.tokens('query')}) AS qt FROM q), ts AS (SELECT doc_id, list_distinct(t) AS t FROM toks),
-    x AS (SELECT b.query_id, b.doc_id, b.rank, CASE WHEN rank <= 20 THEN len(list_intersect(qt, t)) / len(qt) END AS s FROM b JOIN qs USING (query_id) JOIN ts USING (doc_id))
-    SELECT query_id, doc_id, rank, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, round(s, 9) DESC NULLS LAST, rank) AS new_rank FROM x"""
+def _overlap_scorer(sp, d, index):
+    """rerank_score of (query_id, doc_id) rows: the part of the query's distinct terms that the text has, from kept term rows."""
+    q = lexical.term_rows(_questions(sp, d), tokens.CodeTokens(), "query_id", "query").select("query_id", F.col("terms").alias("qt"))
+
+    def score(rows):
+        j = rows.join(q, "query_id", "left").join(index.docs.select("doc_id", F.col("terms").alias("dt")), "doc_id", "left")
+        none = F.array().cast("array<bigint>")
+        return j.withColumn("rerank_score", calibration.overlap_score(F.coalesce("qt", none), F.coalesce("dt", none))).drop("qt", "dt")
+
+    return score
+
+
+_LIST_TERMS = f"qs AS (SELECT query_id, list_distinct({s.tokens('query')}) AS qt FROM q), ts AS (SELECT doc_id, list_distinct(t) AS t FROM toks)"
+_LIST_SCORE = "CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, t)) / len(qt) ELSE 0.0 END"
+_RERANK_ORDER = "CASE WHEN rank <= 20 THEN 0 ELSE 1 END, round(s, 9) DESC NULLS LAST, rank"
+
+
+@query("R2_rerank", f"WITH {s.bm25()}, b AS ({s.rank('scores', 50)}), {_LIST_TERMS}, x AS (SELECT b.query_id, b.doc_id, b.rank, CASE WHEN rank <= 20 THEN {_LIST_SCORE} END AS s FROM b JOIN qs USING (query_id) JOIN ts USING (doc_id)) SELECT query_id, doc_id, rank, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY {_RERANK_ORDER}) AS new_rank FROM x")
+def _(sp, d):
+    sc = Scratch(sp, "rerank")
+    index = lexical.build(_corpus(sp, d), tokens.CodeTokens(), sc)
+    r = sc.keep(lexical.search(lexical.query_terms(_questions(sp, d), tokens.CodeTokens()), index, 50, sc))
+    return calibration.rerank(r, _overlap_scorer(sp, d, index)).select("query_id", "doc_id", big("rank"), r6("rerank_score"), big("new_rank"))
+
+
+@query("R1_cascade", f"""WITH {s.bm25()}, b AS ({s.rank('scores', 50)}), {_LIST_TERMS}, m AS (SELECT query_id, CASE WHEN count(*) < 2 THEN 1e18 ELSE greatest(0, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END)) END AS margin FROM b WHERE rank <= 2 GROUP BY 1),
+  x AS (SELECT b.query_id, b.doc_id, b.rank, margin >= 0.5 AS fast, CASE WHEN rank <= 20 AND margin < 0.5 THEN {_LIST_SCORE} END AS s FROM b JOIN m USING (query_id) JOIN qs USING (query_id) JOIN ts USING (doc_id))
+  SELECT query_id, doc_id, rank, CASE WHEN fast THEN 'fast_path' ELSE 'escalated' END AS decision, round(s, 6) AS rerank_score, CASE WHEN fast THEN rank ELSE row_number() OVER (PARTITION BY query_id ORDER BY {_RERANK_ORDER}) END AS new_rank FROM x""")
+def _(sp, d):
+    """Lexical lists through the router: those of small margin are reranked, the others pass."""
+    sc = Scratch(sp, "cascade")
+    index = lexical.build(_corpus(sp, d), tokens.CodeTokens(), sc)
+    r = sc.keep(lexical.search(lexical.query_terms(_questions(sp, d), tokens.CodeTokens()), index, 50, sc))
+    return calibration.cascade(r, _overlap_scorer(sp, d, index), 0.5).select("query_id", "doc_id", big("rank"), "decision", r6("rerank_score"), big("new_rank"))
 
 
-@query("R2_rerank", _rerank_sql())
+@query("R3_R4_score_cache", "WITH p AS (SELECT pair_id, query, corpus_id AS doc_id, code AS text FROM download WHERE query IS NOT NULL AND corpus_id IS NOT NULL AND code IS NOT NULL), o AS (SELECT query, doc_id, arg_min(text, pair_id) AS text FROM p GROUP BY 1, 2) SELECT pair_id, round(length(o.text) / (1.0 + length(query)), 6) AS rerank_score FROM p JOIN o USING (query, doc_id)")
 def _(sp, d):
-    r = lexical.ranked(_bm25(sp, d), 50)
-    r = r.join(_questions(sp, d).select("query_id", text.tokenize_code("query").alias("qt")), "query_id").join(_corpus(sp, d).select("doc_id", text.tokenize_code("text").alias("dt")), "doc_id")
-    return calibration.rerank(r, calibration.overlap_score(F.col("qt"), F.col("dt"))).select("query_id", "doc_id", big("rank"), r6("rerank_score"), big("new_rank"))
+    """All pairs scored by a batch callable; those of a first run over every other row come from its cache."""
+    p = load(sp, d, "download").filter("query IS NOT NULL AND corpus_id IS NOT NULL AND code IS NOT NULL").select("pair_id", "query", F.col("corpus_id").alias("doc_id"), F.col("code").alias("text"))
+    own = p.groupBy("query", "doc_id").agg(F.min_by("text", "pair_id").alias("text"))  # one text per pair
+    scorer = lambda both: [len(t) / (1.0 + len(q)) for q, t in both]
+    sc = Scratch(sp, "cache")
+    none = sp.createDataFrame([], "query string, doc_id string, rerank_score double")
+    half = p.filter("pair_id % 2 = 0").select("query", "doc_id").distinct()
+    _, cache = calibration.with_cache(own.join(half, ["query", "doc_id"], "left_semi"), none, scorer, sc)
+    got, _ = calibration.with_cache(own, cache, scorer, sc)
+    return p.join(got.select("query", "doc_id", "rerank_score"), ["query", "doc_id"]).select("pair_id", r6("rerank_score"))
 
 
 @query("C1_abstention", f"WITH {_SCORED}, t AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM c WHERE rank <= 20), p AS (SELECT query_id, e / sum(e) OVER (PARTITION BY query_id) AS p FROM t), v AS (SELECT query_id, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE var_pop(p) / ((count(*) - 1) / (count(*) * count(*))) END AS v FROM p GROUP BY 1) SELECT query_id, n, round(v, 6) + 0.0 AS variance, n < 2 OR round(v, 12) < 0.35 AS should_abstain FROM v")
@@ -506,38 +583,68 @@ def _(sp, d):
     return calibration.loss(_labelled(sp, d), _GRID).select("temperature", r6("loss"))
 
 
-@query("C5_platt")
+@query("C4_fit_temperature", f"WITH {_LABELLED}, g(t) AS (SELECT 0.05 * power(200.0, i / 2000.0) FROM range(2001) r(i)), x AS (SELECT t, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss FROM (SELECT t, y, least(greatest(1 / (1 + exp(-greatest(least((p * 4 - 2) / t, 50), -50))), 1e-12), 1 - 1e-12) AS p FROM lab, g) GROUP BY 1) SELECT round(min(loss), 5) AS loss FROM x")
 def _(sp, d):
-    rows = _labelled(sp, d)
-    a, b = calibration.fit_platt(rows)
-    return rows.select("query_id", "source", "doc_id", F.round(calibration.predict_platt(F.col("score"), a, b), 6).alias("p"))
+    """The loss at the fitted temperature; SQL takes the least over a fine grid."""
+    rows = Scratch(sp, "temperature").keep(_labelled(sp, d))
+    return calibration.loss(rows, [calibration.fit_temperature(rows, 8)]).select(F.round("loss", 5).alias("loss"))
+
+
+_PLATT = (2.5, -1.25)
+
+
+@query("C5_platt_predict", f"WITH {_LABELLED} SELECT query_id, source, doc_id, round(1 / (1 + exp(-greatest(least(p * {_PLATT[0]} + ({_PLATT[1]}), 50), -50))), 6) AS p FROM lab")
+def _(sp, d):
+    return _labelled(sp, d).select("query_id", "source", "doc_id", F.round(calibration.predict_platt(F.col("p"), *_PLATT), 6).alias("p"))
+
+
+@query("C5_platt", f"WITH {_LABELLED} SELECT true AS level_fits, true AS slope_fits FROM lab LIMIT 1")
+def _(sp, d):
+    """At the fitted line both derivatives of the likelihood vanish: mean(p) = mean(y) and mean(p score) = mean(y score)."""
+    rows = Scratch(sp, "platt").keep(_labelled(sp, d))
+    p = calibration.predict_platt(F.col("score"), *calibration.fit_platt(rows))
+    return rows.agg((F.abs(F.avg(p - F.col("y"))) < 1e-4).alias("level_fits"), (F.abs(F.avg((p - F.col("y")) * F.col("score"))) < 1e-4).alias("slope_fits"))
 
 
-@query("C6_isotonic")
+@query("C6_isotonic", f"""WITH {_LABELLED}, k AS (SELECT p, count(*) AS w, sum(y) AS y, row_number() OVER (ORDER BY p) AS i FROM lab GROUP BY p), c AS (SELECT i, p, sum(w) OVER (ORDER BY i) AS cw, sum(y) OVER (ORDER BY i) AS cy FROM k),
+  iv AS (SELECT a.i AS lo, b.i AS hi, (b.cy - coalesce(z.cy, 0)) / (b.cw - coalesce(z.cw, 0)) AS m FROM c a JOIN c b ON b.i >= a.i LEFT JOIN c z ON z.i = a.i - 1), low AS (SELECT lo, hi, min(m) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM iv), fit AS (SELECT hi AS i, max(m) AS f FROM low GROUP BY 1)
+  SELECT query_id, source, doc_id, round(least(greatest(f, 0), 1), 6) AS p FROM lab JOIN k USING (p) JOIN fit USING (i)""")
 def _(sp, d):
     rows = _labelled(sp, d)
     from pyspark.ml.functions import array_to_vector
 
-    m = calibration.fit_isotonic(rows)
-    out = m.transform(rows.withColumn("features", array_to_vector(F.array("score"))))
+    m = calibration.fit_isotonic(rows, "p")
+    out = m.transform(rows.withColumn("features", array_to_vector(F.array("p"))))
     return out.select("query_id", "source", "doc_id", F.round(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)), 6).alias("p"))
 
 
-def _boot_sql(rounds: int) -> str:
+def _boot_sql(rows: str, by: str, rounds: int = 1000) -> str:
+    """rows gives by, metric, k (a unique key) and v."""
     import math
 
     cum, case = 0.0, ""
     for n in range(8):
         cum += math.exp(-1) / math.factorial(n)
         case += f" WHEN u < {cum!r} THEN {n}"
-    return f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_discount AS v FROM lineitem), r AS (SELECT k, v, unnest(range(1, {rounds + 1})) AS b FROM x), u AS (SELECT v, b, ('0x' || substr(md5(k || ':' || b), 1, 8))::BIGINT / 4294967296.0 AS u FROM r),
-    m AS (SELECT b, sum(v * c) / sum(c) AS m FROM (SELECT v, b, CASE{case} ELSE 8 END AS c FROM u) GROUP BY 1) SELECT (SELECT round(avg(v), 6) FROM x) AS mean, (SELECT round(median(v), 6) FROM x) AS median, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS std FROM m"""
+    by = by + ", " if by else ""
+    return f"""{rows}, r AS (SELECT {by}metric, k, v::DECIMAL(28,9) AS v, unnest(range(1, {rounds + 1})) AS b FROM rws WHERE v IS NOT NULL AND NOT isnan(v)), u AS (SELECT {by}metric, v, b, ('0x' || substr(md5(k || ':' || b), 1, 8))::BIGINT / 4294967296.0 AS u FROM r),
+    m AS (SELECT {by}metric, b, sum(v * c)::DOUBLE / sum(c) AS m FROM (SELECT {by}metric, v, b, CASE{case} ELSE 8 END AS c FROM u) WHERE c > 0 GROUP BY ALL), ci AS (SELECT {by}metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS std FROM m GROUP BY ALL),
+    pt AS (SELECT {by}metric, count(*) AS n, round(sum(v::DECIMAL(28,9))::DOUBLE / count(*), 6) AS mean FROM rws WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL)"""
+
+
+@query("C7_bootstrap", "WITH " + _boot_sql("rws AS (SELECT 'score' AS metric, run_row_id AS k, score AS v FROM rankings)", "") + ", md AS (SELECT round(median(round(score, 6)), 6) AS median FROM rankings WHERE score IS NOT NULL AND NOT isnan(score)) SELECT n, mean, median, low, high, std FROM pt JOIN ci USING (metric), md")
+def _(sp, d):
+    """Interval of the mean score, 1,000 rounds, and the median."""
+    r = load(sp, d, "rankings").select("run_row_id", "score")
+    return calibration.bootstrap(r, ["score"], "run_row_id").crossJoin(calibration.median(r, "score")).select("n", *map(r6, ("mean", "median", "low", "high", "std")))  # two one-row results
 
 
-@query("C7_E9_bootstrap", _boot_sql(20))
+@query("E9_metric_intervals", f"WITH {s.FIRST_REL}, " + _boot_sql("per AS (SELECT source, source || '/' || query_id AS k, CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END AS mrr, CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) ELSE 0 END AS ndcg FROM fr), rws AS (SELECT source, 'mrr' AS metric, k, mrr AS v FROM per UNION ALL SELECT source, 'ndcg', k, ndcg FROM per)", "source") + " SELECT source, metric, n, mean, low, high, std FROM pt JOIN ci USING (source, metric)")
 def _(sp, d):
-    x = load(sp, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_discount").alias("v"))
-    return calibration.bootstrap(x, "v", "k", 20).select(*map(r6, ("mean", "median", "low", "high", "std")))
+    """Intervals of MRR@10 and NDCG@10 over the queries of each source, 1,000 rounds."""
+    r = _ranks(sp, d).withColumn("r", F.coalesce(F.col("rank"), F.lit(1 << 30)).cast("double")).withColumn("k", F.concat_ws("/", "source", "query_id"))
+    r = r.select("source", "k", evaluation.mrr(F.col("r"), 10).alias("mrr"), evaluation.ndcg(F.col("r"), 10).alias("ndcg"))
+    return calibration.bootstrap(r, ["mrr", "ndcg"], "k", ["source"]).select("source", "metric", "n", *map(r6, ("mean", "low", "high", "std")))
 
 
 @query("C8_histogram", f"WITH {_LABELLED} SELECT {_BIN} AS bin, count(*) AS n FROM lab GROUP BY 1")
@@ -558,25 +665,74 @@ def _(sp, d):
     return evaluation.evaluate(_ranks(sp, d), ["source"]).select("source", "n_queries", *map(r6, _METRICS))
 
 
-@query("E6_configurations", f"""WITH {s.bm25()}, {_HDENSE}, sp AS ({s.rank('scores', 50)}), de AS ({s.rank('dscore', 50)}),
+_FIVE = f"""{s.bm25()}, {_HDENSE}, sp AS ({s.rank('scores', 50)}), de AS ({s.rank('dscore', 50)}),
   u AS (SELECT query_id, doc_id, 0.85 / (20 + rank) AS part, rank FROM de UNION ALL SELECT query_id, doc_id, 0.15 / (20 + rank), rank FROM sp),
-  f AS (SELECT query_id, doc_id, sum(part) AS score, min(rank) AS best FROM u GROUP BY 1, 2), fu AS ({s.rank('f', 50, extra='best, ')}),
-  allr AS (SELECT 'dense' AS config, query_id, doc_id, rank FROM de UNION ALL SELECT 'fused', query_id, doc_id, rank FROM fu UNION ALL SELECT 'sparse', query_id, doc_id, rank FROM sp),
-  rel AS (SELECT query_id, corpus_id AS doc_id FROM q WHERE trim(corpus_id) <> ''), asked AS (SELECT DISTINCT config, query_id FROM allr SEMI JOIN rel USING (query_id)),
+  f AS (SELECT query_id, doc_id, sum(part) AS score, min(rank) AS best FROM u GROUP BY 1, 2), fu AS ({s.rank('f', 50, extra='best, ')}), {_LIST_TERMS},
+  lists AS (SELECT 'C' AS config, query_id, doc_id, rank FROM de UNION ALL SELECT 'D', query_id, doc_id, rank FROM fu),
+  sc AS (SELECT config, query_id, doc_id, rank, CASE WHEN rank <= 20 THEN {_LIST_SCORE} END AS s FROM lists JOIN qs USING (query_id) JOIN ts USING (doc_id)),
+  rr AS (SELECT config, query_id, doc_id, rank AS old, s, row_number() OVER (PARTITION BY config, query_id ORDER BY {_RERANK_ORDER}) AS rank FROM sc),
+  mg AS (SELECT query_id, CASE WHEN count(*) < 2 THEN 1e18 ELSE greatest(0, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END)) END AS margin FROM de WHERE rank <= 2 GROUP BY 1),
+  allr AS (SELECT 'A' AS config, query_id, doc_id, rank FROM de UNION ALL SELECT 'B', query_id, doc_id, rank FROM fu UNION ALL SELECT config, query_id, doc_id, rank FROM rr
+    UNION ALL SELECT 'E', de.query_id, de.doc_id, CASE WHEN margin >= 0.08 THEN de.rank ELSE rr.rank END FROM de JOIN mg USING (query_id) JOIN rr ON rr.config = 'C' AND rr.query_id = de.query_id AND rr.doc_id = de.doc_id),
+  rel AS (SELECT query_id, corpus_id AS doc_id FROM q WHERE trim(corpus_id) <> '')"""
+
+
+def _five(sp, d):
+    """(lists, reranked, routed): the rankings A dense, B fused, C and D those reranked, E dense through the router; all depth 50."""
+    sc = Scratch(sp, "configurations")
+    index = lexical.build(_corpus(sp, d), tokens.CodeTokens(), sc)
+    sparse = lexical.search(lexical.query_terms(_questions(sp, d), tokens.CodeTokens()), index, 50, sc).withColumn("source", F.lit("sparse"))
+    both = sc.keep(_hash_dense(sp, d, 50).withColumn("source", F.lit("dense")).unionByName(sparse))
+    dense = both.filter("source = 'dense'").select("query_id", "doc_id", "rank", F.col("score").alias("dense_score"))
+    fused = sc.keep(fusion.rrf(both, _WEIGHTS, 20, 50).select("query_id", "doc_id", "rank"))
+    scorer = _overlap_scorer(sp, d, index)
+    c, e = calibration.rerank(dense, scorer), calibration.cascade(dense, scorer, 0.08)
+    x = calibration.rerank(fused, scorer)
+    reranked = sc.keep(c.select(F.lit("C").alias("config"), "query_id", "doc_id", "rank", "rerank_score", "new_rank").unionByName(x.select(F.lit("D").alias("config"), "query_id", "doc_id", "rank", "rerank_score", "new_rank")))
+    routed = sc.keep(e.select("query_id", "doc_id", "decision", F.col("new_rank").alias("rank")))
+    part = lambda df, k: df.select(F.lit(k).alias("config"), "query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
+    lists = part(dense, "A").unionByName(part(fused, "B")).unionByName(reranked.select("config", "query_id", "doc_id", F.col("new_rank").alias("rank"))).unionByName(part(routed, "E"))
+    return lists, reranked, routed
+
+
+def _own_qrels(sp, d):
+    return _questions(sp, d).filter("trim(corpus_id) <> ''").select("query_id", F.col("corpus_id").alias("doc_id"))
+
+
+@query("E6_configurations", f"""WITH {_FIVE}, asked AS (SELECT DISTINCT config, query_id FROM allr SEMI JOIN rel USING (query_id)),
   best AS (SELECT config, query_id, min(rank) AS rank FROM allr JOIN rel USING (query_id, doc_id) GROUP BY 1, 2), fr AS (SELECT asked.config, asked.query_id, best.rank FROM asked LEFT JOIN best USING (config, query_id))
   SELECT config, {s.METRICS} FROM fr GROUP BY 1""")
 def _(sp, d):
-    sparse = lexical.ranked(_bm25(sp, d), 50).withColumn("source", F.lit("sparse"))
-    both = Scratch(sp, "e6").keep(_hash_dense(sp, d, 50).withColumn("source", F.lit("dense")).unionByName(sparse))
-    fused = fusion.rrf(both, _WEIGHTS, 20, 50).withColumn("source", F.lit("fused"))
-    r = both.select(F.col("source").alias("config"), "query_id", "doc_id", "rank").unionByName(fused.select(F.col("source").alias("config"), "query_id", "doc_id", "rank"))
-    rel = _questions(sp, d).filter("trim(corpus_id) <> ''").select("query_id", F.col("corpus_id").alias("doc_id"))
-    return evaluation.evaluate(evaluation.first_relevant(r, rel, ["config"]), ["config"]).select("config", "n_queries", *map(r6, _METRICS))
+    ranks = evaluation.first_relevant(_five(sp, d)[0], _own_qrels(sp, d), ["config"])
+    return evaluation.evaluate(ranks, ["config"]).select("config", "n_queries", *map(r6, _METRICS))
 
 
-@query("E7_pool_rates", f"WITH {s.FIRST_REL} SELECT source, count(*) AS n, count(rank) AS in_pool, round(avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missed FROM fr GROUP BY 1")
+@query("E7_pool_rates", f"""WITH {_FIVE}, pool AS (SELECT config, query_id, min(old) AS old, min(rank) AS rank FROM rr JOIN rel USING (query_id, doc_id) WHERE old <= 20 GROUP BY 1, 2),
+  t AS (SELECT config, query_id, exp(s - max(s) OVER (PARTITION BY config, query_id)) AS e FROM rr WHERE old <= 20), p AS (SELECT config, query_id, e / sum(e) OVER (PARTITION BY config, query_id) AS p FROM t),
+  v AS (SELECT config, query_id, count(*) < 2 OR round(CASE WHEN count(*) < 2 THEN 0.0 ELSE var_pop(p) / ((count(*) - 1) / (count(*) * count(*))) END, 12) < 0.01 AS abstain FROM p GROUP BY 1, 2),
+  a AS (SELECT config, count(*) AS n_queries, round(avg(abstain::INT), 6) AS abstention_rate FROM v GROUP BY 1),
+  h AS (SELECT config, count(*) AS in_pool, round(avg((rank <= 10)::INT), 6) AS reranked_top10, round(avg((old <= 10)::INT), 6) AS original_top10, round(avg(old), 6) AS original_rank FROM pool GROUP BY 1),
+  e AS (SELECT round(avg((margin >= 0.08)::INT), 6) AS fast_path_rate FROM mg)
+  SELECT config, n_queries, abstention_rate, coalesce(in_pool, 0) AS in_pool, reranked_top10, original_top10, original_rank, fast_path_rate FROM a LEFT JOIN h USING (config), e""")
 def _(sp, d):
-    return _ranks(sp, d).groupBy("source").agg(F.count("*").alias("n"), F.count("rank").alias("in_pool"), F.round(F.avg(F.when(F.col("rank").isNull(), 1.0).otherwise(0.0)), 6).alias("missed"))
+    """Of the reranked configurations: how often they abstain, and where relevant texts of the first 20 stood before and after."""
+    _, r, routed = _five(sp, d)
+    pool = r.filter("rank <= 20")
+    hit = pool.join(_own_qrels(sp, d), ["query_id", "doc_id"], "left_semi").groupBy("config", "query_id").agg(F.min("rank").alias("old"), F.min("new_rank").alias("new"))
+    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    h = hit.groupBy("config").agg(F.count("*").alias("in_pool"), rate(F.col("new") <= 10).alias("reranked_top10"), rate(F.col("old") <= 10).alias("original_top10"), F.round(F.avg("old"), 6).alias("original_rank"))
+    one = pool.select(F.concat_ws("/", "config", "query_id").alias("query_id"), F.col("rerank_score").alias("score"), F.col("new_rank").alias("rank"))
+    a = calibration.abstention(one, 20, 0.01).groupBy(F.substring_index("query_id", "/", 1).alias("config")).agg(F.count("*").alias("n_queries"), rate(F.col("should_abstain")).alias("abstention_rate"))
+    fast = routed.filter("rank = 1").agg(rate(F.col("decision") == "fast_path").alias("fast_path_rate"))
+    return a.join(h, "config", "left").crossJoin(F.broadcast(fast)).withColumn("in_pool", F.coalesce("in_pool", F.lit(0)))  # one row
+
+
+@query("E16_M5_validation", f"WITH {s.CORPUS}, {s.QUERIES}, {_HDENSE}, de AS ({s.rank('dscore', 50)}), rel AS (SELECT query_id, corpus_id AS doc_id FROM q WHERE trim(corpus_id) <> ''), asked AS (SELECT DISTINCT query_id FROM de SEMI JOIN rel USING (query_id)), best AS (SELECT query_id, min(rank) AS rank FROM de JOIN rel USING (query_id, doc_id) GROUP BY 1), fr AS (SELECT asked.query_id, best.rank FROM asked LEFT JOIN best USING (query_id)) SELECT {s.METRICS} FROM fr")
+def _(sp, d):
+    """Guard, judgements, first text per id, encoding, ranking, metrics, as one."""
+    evaluation.guard_split("download", "valid")
+    ranks = evaluation.first_relevant(_hash_dense(sp, d, 50), _own_qrels(sp, d))
+    return evaluation.evaluate(ranks).select("n_queries", *map(r6, _METRICS))
 
 
 @query("E8_N11_rank_delta", f"WITH {s.RANKS}, a AS (SELECT query_id, doc_id, rank FROM r0 WHERE source = 'dense'), b AS (SELECT query_id, doc_id, rank FROM r0 WHERE source = 'hybrid') SELECT query_id, doc_id, a.rank AS old_rank, b.rank AS new_rank, a.rank - b.rank AS delta, CASE WHEN a.rank IS NULL THEN 'new' WHEN b.rank IS NULL THEN 'gone' WHEN abs(a.rank - b.rank) >= 2 THEN 'changed' ELSE 'steady' END AS kind FROM a FULL JOIN b USING (query_id, doc_id)")
@@ -585,10 +741,14 @@ def _(sp, d):
     return evaluation.rank_delta(r.filter("source = 'dense'"), r.filter("source = 'hybrid'"))
 
 
-@query("E12_round_comparison", f"WITH {s.FIRST_REL}, m AS (SELECT source, avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END) AS mrr FROM fr GROUP BY 1) SELECT round(max(CASE WHEN source = 'dense' THEN mrr END), 6) AS dense, round(max(CASE WHEN source = 'hybrid' THEN mrr END), 6) AS hybrid, round(max(CASE WHEN source = 'hybrid' THEN mrr END) - max(CASE WHEN source = 'dense' THEN mrr END), 6) AS gain FROM m")
+_RAW = s.METRICS.replace("round(avg(", "(avg(").replace(", 6) AS", ") AS")
+
+
+@query("E12_round_comparison", f"WITH {s.FIRST_REL}, m AS (SELECT source, {_RAW} FROM fr GROUP BY 1), x AS (SELECT unnest([{', '.join(f'{{metric: {chr(39)}{m}{chr(39)}, old: d.{m}, new: h.{m}}}' for m in ('mrr', 'ndcg', 'recall_1', 'recall_5', 'recall_k'))}], recursive := true) FROM m d, m h WHERE d.source = 'dense' AND h.source = 'hybrid') SELECT metric, round(old, 6) AS old, round(new, 6) AS new, round(new - old, 6) AS delta, CASE WHEN old <> 0 THEN round((new - old) / old * 100, 4) END AS percent FROM x")
 def _(sp, d):
-    m = evaluation.evaluate(_ranks(sp, d), ["source"]).groupBy().pivot("source", ["dense", "hybrid"]).agg(F.first("mrr"))
-    return m.select(r6("dense"), r6("hybrid"), F.round(F.col("hybrid") - F.col("dense"), 6).alias("gain"))
+    """Dense ranking as the round before, hybrid as the round after: every metric with its change."""
+    m = evaluation.evaluate(_ranks(sp, d), ["source"])
+    return evaluation.compare(m.filter("source = 'dense'"), m.filter("source = 'hybrid'"), list(_METRICS)).select("metric", r6("old"), r6("new"), r6("delta"), F.round("percent", 4).alias("percent"))
 
 
 # --- structure and graph ---------------------------------------------------------------------------------------------
@@ -597,9 +757,18 @@ def _(sp, d):
     return code_meta.parse_js(load(sp, d, "download"), "corpus_id", "code", keep=["pair_id"]).select("pair_id", "name", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
 
 
-@query("G2_G3_python_prefix")
+@query("G2_python_metadata")
+def _(sp, d):
+    return code_meta.enrich_python(load(sp, d, "download"), "pair_id", "code").select("pair_id", F.array_join("functions", "|").alias("functions"), F.array_join("classes", "|").alias("classes"), "docstring", F.array_join("calls", "|").alias("calls"))
+
+
+@query("G3_prefix", "WITH m AS (SELECT func_id, coalesce(short_name, '') AS docstring, [short_name || '()', name || '(x)', file || '(y)', 'more()'] AS functions, CASE WHEN func_id % 3 = 0 THEN [file] ELSE [] END AS classes, list_sort(list_distinct(coalesce(calls, []))) AS calls FROM parsed_functions WHERE short_name IS NOT NULL AND name IS NOT NULL AND file IS NOT NULL) SELECT func_id, CASE WHEN docstring <> '' THEN '# SUMMARY: ' || docstring || chr(10) ELSE '' END || '# SIGNATURE: ' || array_to_string(functions[1:3], ', ') || chr(10) || CASE WHEN len(classes) > 0 THEN '# CLASSES: ' || classes[1] || chr(10) ELSE '' END || CASE WHEN len(calls) > 0 THEN '# CALLS: ' || array_to_string(calls[1:5], ', ') || chr(10) ELSE '' END AS prefix FROM m")
 def _(sp, d):
-    return code_meta.enrich_python(load(sp, d, "download"), "pair_id", "code").select("pair_id", code_meta.structural_prefix().alias("prefix"))
+    """The prefix format over the columns of every parsed function."""
+    f = load(sp, d, "parsed_functions").filter("short_name IS NOT NULL AND name IS NOT NULL AND file IS NOT NULL")
+    none = F.array().cast("array<string>")
+    m = f.select("func_id", F.coalesce("short_name", F.lit("")).alias("docstring"), F.array(F.concat("short_name", F.lit("()")), F.concat("name", F.lit("(x)")), F.concat("file", F.lit("(y)")), F.lit("more()")).alias("functions"), F.when(F.col("func_id") % 3 == 0, F.array("file")).otherwise(none).alias("classes"), F.array_sort(F.array_distinct(F.coalesce("calls", none))).alias("calls"))
+    return m.select("func_id", code_meta.structural_prefix().alias("prefix"))
 
 
 _EDGES = "f AS (SELECT DISTINCT name, short_name FROM parsed_functions), calls AS (SELECT name AS src, unnest(calls) AS call FROM parsed_functions), edges AS (SELECT src, f.name AS dst FROM calls JOIN f ON f.short_name = call UNION ALL SELECT src, n.name FROM calls ANTI JOIN f ON f.short_name = call JOIN (SELECT DISTINCT name FROM f) n ON n.name = call)"
@@ -640,7 +809,7 @@ def _(sp, d):
     return graph.reachable(_edges(sp, d), _starts(sp, d), 2).filter("depth = 2").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("G6_G8_shortest_paths", f"""WITH {_REACH}, p1 AS (SELECT source, node, source || ' -> ' || node AS path FROM s1), p2 AS (SELECT p1.source, e.dst AS node, min(p1.path || ' -> ' || e.dst) AS path FROM p1 JOIN e ON e.src = p1.node WHERE e.dst <> p1.source GROUP BY 1, 2),
+@query("G6_shortest_paths", f"""WITH {_REACH}, p1 AS (SELECT source, node, source || ' -> ' || node AS path FROM s1), p2 AS (SELECT p1.source, e.dst AS node, min(p1.path || ' -> ' || e.dst) AS path FROM p1 JOIN e ON e.src = p1.node WHERE e.dst <> p1.source GROUP BY 1, 2),
   best AS (SELECT source, node, path, 1 AS length FROM p1 UNION ALL SELECT source, node, path, 2 FROM p2 ANTI JOIN p1 USING (source, node)) SELECT source, node AS target, path, length FROM best""")
 def _(sp, d):
     e = Scratch(sp, "paths").keep(_edges(sp, d))
@@ -649,14 +818,47 @@ def _(sp, d):
     return graph.shortest_paths(e, pairs, 2)
 
 
-@query("G9_pagerank")
+@query("G8_meeting_paths", _SQL["G6_shortest_paths"])
 def _(sp, d):
-    return graph.pagerank(_edges(sp, d), Scratch(sp, "pagerank")).select("node", F.round("rank", 6).alias("rank"))
+    sc = Scratch(sp, "paths")
+    e = sc.keep(_edges(sp, d))
+    return graph.meeting_paths(e, sc.keep(graph.reachable(e, _starts(sp, d), 2).select("source", F.col("node").alias("target"))), 2)
+
+
+def _nodes(sp, d, edges):
+    return graph.nodes_of(load(sp, d, "parsed_functions"), edges)
+
+
+_NODES = "nd AS (SELECT DISTINCT name AS node FROM f WHERE name IS NOT NULL)"
+
+
+def _pagerank_sql(rounds: int) -> str:
+    out = f"WITH {_EDGES}, {_NODES}, cnt AS (SELECT count(*)::DOUBLE AS n FROM nd), w AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS p FROM edges GROUP BY 1, 2), r0 AS (SELECT node, 1 / n AS r FROM nd, cnt)"
+    for i in range(1, rounds + 1):
+        out += f", r{i} AS MATERIALIZED (SELECT nd.node, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS r FROM nd LEFT JOIN (SELECT dst AS node, sum(r * p) AS got FROM w JOIN r{i - 1} ON node = src GROUP BY 1) g USING (node), cnt, (SELECT coalesce(sum(r), 0) AS lost FROM r{i - 1} WHERE node NOT IN (SELECT src FROM w WHERE src IS NOT NULL)))"
+    return out + f" SELECT node, round(r, 6) AS rank FROM r{rounds}"
+
+
+@query("G9_pagerank", _pagerank_sql(12))
+def _(sp, d):
+    """Twelve rounds, a fixed number, so that SQL can repeat them."""
+    sc = Scratch(sp, "pagerank")
+    e = sc.keep(_edges(sp, d))
+    return graph.pagerank(e, _nodes(sp, d, e), sc, rounds=12, tol=0.0).select("node", F.round("rank", 6).alias("rank"))
+
+
+def _communities_sql(rounds: int) -> str:
+    out = f"WITH {_EDGES}, {_NODES}, sym AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), l0 AS (SELECT node, node AS label FROM nd)"
+    for i in range(1, rounds + 1):
+        out += f", l{i} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) AS o FROM (SELECT a AS node, label FROM sym JOIN l{i - 1} ON node = b UNION ALL SELECT node, label FROM l{i - 1}) GROUP BY 1, 2) WHERE o = 1)"
+    return out + f" SELECT node, min(node) OVER (PARTITION BY label) AS community FROM l{rounds}"
 
 
-@query("G10_communities")
+@query("G10_communities", _communities_sql(15))
 def _(sp, d):
-    return graph.communities(_edges(sp, d), Scratch(sp, "communities"))
+    sc = Scratch(sp, "communities")
+    e = sc.keep(_edges(sp, d))
+    return graph.communities(e, _nodes(sp, d, e), sc)
 
 
 # --- versions --------------------------------------------------------------------------------------------------------
@@ -711,10 +913,11 @@ def _(sp, d):
     return versioning.collapse(m).withColumn("versions", F.array_join(F.transform("versions", lambda x: x.cast("string")), ","))
 
 
-@query("N8_compact", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 9 <> 0")
+@query("N8_compact", "SELECT doc_id, n_chars, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0) AS purged, 0::BIGINT AS tombstones_left FROM documents WHERE doc_id % 9 <> 0")
 def _(sp, d):
     docs = load(sp, d, "documents").select("doc_id", "n_chars")
-    return versioning.compact(docs, docs.filter("doc_id % 9 = 0"))
+    kept, purged, left = versioning.compact(docs, docs.filter("doc_id % 9 = 0").select("doc_id"))
+    return kept.crossJoin(F.broadcast(purged)).crossJoin(F.broadcast(left.agg(F.count("*").alias("tombstones_left"))))  # one row each
 
 
 @query("N9_diff_lines", "WITH f AS (SELECT func_id, start_line FROM parsed_functions WHERE start_line IS NOT NULL) SELECT func_id AS diff_id, 'src/' || func_id || '.py' AS file_path, (start_line + 1)::INT AS line FROM f UNION SELECT func_id, 'src/' || func_id || '.py', (start_line + 2)::INT FROM f")
@@ -754,7 +957,7 @@ def _hard(sp, d, ranking):
 
 @query("M2_bm25_negatives", f"WITH {s.bm25(s.mining, counted=True, least=1)}, top AS ({s.rank('scores', 50)}), {_HARD}")
 def _(sp, d):
-    return _hard(sp, d, lexical.ranked(_bm25(sp, d, text.mining_tokens, counted=True, least=1), 50))
+    return _hard(sp, d, _search(sp, d, 50, tokens.MiningTokens, counted=True, least=1))
 
 
 @query("M3_dense_negatives", f"WITH {s.CORPUS}, {s.QUERIES}, {_HDENSE}, top AS ({s.rank('dscore', 50)}), {_HARD}")

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
 
 
 def session(app: str = "corvina", cores: str = "*", **conf: str) -> SparkSession:
@@ -37,10 +38,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made, and removed at exit."""
+    Only where the session names none and the master is local (tests on one machine) a temporary folder is made, and removed at
+    exit. On a cluster each machine would write a folder of its own, so there a missing setting is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="corvina-")
@@ -53,6 +57,8 @@ class Scratch:
     carry the sizes by which Spark decides whether a side may be broadcast."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(_FACTOR, "1.0") == "1.0":  # the size by which Spark judges is that of compressed files
+            spark.conf.set(_FACTOR, "4.0")
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._drop_quietly, self.base)
 

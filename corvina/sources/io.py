@@ -5,26 +5,55 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions.code_meta import parse_js
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """S1, S5. Parquet, ORC, JSON lines, CSV with a header, or an Arrow file, by the path's ending; a folder is read as parquet.
+def _opened(content: bytes):
+    """A reader of the Arrow file or stream in content."""
+    try:
+        return pa.ipc.open_file(pa.BufferReader(content))
+    except pa.ArrowInvalid:
+        return pa.ipc.open_stream(pa.BufferReader(content))
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """S5. Arrow files or streams, one file or a folder of them: each file is read by a task (files below 2 GB), none on the driver.
+
+    Without a schema that of the first file is taken; files of another schema are an error when they are read."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def heads(batches):
+        for b in batches:
+            for c in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([_opened(c.as_py()).schema.serialize().to_pybytes()])], names=["schema"])
 
-    An Arrow file is read on the driver and meant for small inputs; the others are scanned in parallel."""
+    if schema is None:
+        first = files.limit(1).mapInArrow(heads, "schema binary").first()
+        if first is None:
+            raise ValueError(f"no Arrow file at {path}")
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(first[0])))
+
+    def rows(batches):
+        for b in batches:
+            for c in b.column(0):
+                r = _opened(c.as_py())
+                yield from (r.get_batch(i) for i in range(r.num_record_batches)) if hasattr(r, "num_record_batches") else r
+
+    return files.mapInArrow(rows, schema)
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """S1, S5. Parquet, ORC, JSON lines, CSV with a header, or Arrow files, by the path's ending; a folder is read as parquet."""
     end = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if end in ("arrow", "feather"):
-        import pyarrow as pa
-
-        with pa.memory_map(path.removeprefix("file://")) as f:
-            try:
-                t = pa.ipc.open_file(f).read_all()
-            except pa.ArrowInvalid:
-                t = pa.ipc.open_stream(f).read_all()
-        return spark.createDataFrame(t)
+        return read_arrow(spark, path, schema)
     r = spark.read.schema(schema) if schema else spark.read
     if end in ("json", "jsonl", "ndjson"):
         return r.json(path)
@@ -44,10 +73,14 @@ def inspect(df: DataFrame, n: int = 5) -> dict:
 
 
 def scan_sources(spark: SparkSession, root: str, pattern: str = "*.js") -> DataFrame:
-    """S6. (path, text) of all files of a tree whose name matches; path is relative to root."""
+    """S6. (path, text) of all files of a tree whose name matches; path is relative to root, on any file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(root)
+    full = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath().rstrip("/")
     df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return df.select(F.substring(full, len(os.path.abspath(root)) + 2, 1 << 20).alias("path"), F.col("value").alias("text"))
+    decoded = F.url_decode(F.regexp_replace("_metadata.file_path", "\\+", "%2B"))
+    path = F.regexp_replace(decoded, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    return df.select(F.substring(path, len(full) + 2, 1 << 20).alias("path"), F.col("value").alias("text"))
 
 
 def function_corpus(files: DataFrame) -> DataFrame:
@@ -58,14 +91,18 @@ def function_corpus(files: DataFrame) -> DataFrame:
 
 
 def first_available(spark: SparkSession, paths: list[str], fallback: list[tuple[str, str]], limit: int | None = None) -> DataFrame:
-    """S8. (doc_id, text) from the first path that can be read and has rows, else the given rows; blank texts are skipped."""
+    """S8. (doc_id, text) from the first path that is there and has rows, else the given rows; blank texts are skipped.
+
+    Only a path that does not exist, or holds no table, is passed over; a table that cannot be read is an error."""
     for p in paths:
         try:
             df = read_table(spark, p).select("doc_id", "text").filter(F.trim("text") != "")
-            if df.limit(1).count():
-                return df.limit(limit) if limit else df
-        except Exception:  # not there, or not a table: the next one
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             continue
+        if df.limit(1).count():
+            return df.limit(limit) if limit else df
     return spark.createDataFrame(fallback, "doc_id string, text string")
 
 

@@ -16,7 +16,7 @@ def test_nothing_else_imports_llm():
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "corvina.llm" in p.read_text()]
 
 
-@pytest.mark.parametrize("name", ["L2_bm25", "V3_V4_dense_top_k", "F1_rrf", "E1_E5_evaluate", "G4_call_graph", "N1_diff_hashes"])
+@pytest.mark.parametrize("name", ["L2_bm25", "V3_V4_dense_top_k", "F1_rrf", "E1_E5_evaluate", "G4_call_graph", "G10_communities", "N1_diff_hashes", "E9_metric_intervals", "R1_cascade", "L5_maintained_bm25"])
 def test_against_oracle(spark, name):
     import glob
     import os
@@ -32,3 +32,14 @@ def test_against_oracle(spark, name):
     norm = lambda rows: sorted(repr([round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r]) for r in rows)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert norm(map(tuple, got.select(*cols).collect())) == norm(want)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corvina.runtime import shared_dir
+
+    conf = lambda v: SimpleNamespace(get=lambda k, d=None: v)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf(None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a")))
+    assert shared_dir(SimpleNamespace(conf=conf("hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"

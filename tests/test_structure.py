@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def test_python_prefix(spark):
     assert got[1] == "# SUMMARY: Adds.\n# SIGNATURE: f(a, b)\n# CALLS: g\n" and got[3] == "" and "# CLASSES: A" in got[4]
 
 
+def test_python_metadata():
+    m = code_meta.python_metadata('class A:\n    """Of the class."""\n    def run(self, x):\n        """Runs.\n\n        More."""\n        zeta(x)\n        return alpha(self.beta())\ndef top(y): pass\n')
+    assert m == {"functions": ["top(y)", "run(x)"], "classes": ["A"], "docstring": "Runs.", "calls": ["alpha", "beta", "zeta"]}
+    assert code_meta.python_metadata("def f(self, a):\n  g(a")["functions"] == ["f(self, a)"]
+    assert code_meta.python_metadata("x = 1\n")["docstring"] == "" and code_meta.python_metadata(" ")["calls"] == []
+
+
 def functions(spark):
     rows = [("auth.js:login", "login", ["validateToken", "nothing"]), ("auth.js:validateToken", "validateToken", ["checkExpiry", "validate"]), ("auth.js:checkExpiry", "checkExpiry", None), ("auth.js:validate", "validate", []), ("utils.js:validate", "validate", ["auth.js:login"])]
     return spark.createDataFrame([(n, s, n.split(":")[0], c) for n, s, c in rows], "name string, short_name string, file string, calls array<string>")
@@ -51,14 +59,25 @@ def test_call_graph(spark, scratch):
         graph.resolve(f, "validate")
 
 
+def test_meeting_paths_equal_shortest(spark, scratch):
+    rng = random.Random(5)
+    e = spark.createDataFrame([(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for _ in range(60)], "src string, dst string")
+    pairs = spark.createDataFrame([(f"n{a}", f"n{b}") for a in range(6) for b in range(26)], "source string, target string")
+    for depth in (1, 4, 5):
+        assert sorted(map(tuple, graph.meeting_paths(e, pairs, depth).collect())) == sorted(map(tuple, graph.shortest_paths(e, pairs, depth).collect()))
+
+
 def test_pagerank_and_communities(spark, scratch):
     e = spark.createDataFrame([("a", "db:connect"), ("b", "db:connect"), ("c", "db:connect"), ("c", "stripe:api")], "src string, dst string")
-    r = {x["node"]: x["rank"] for x in graph.pagerank(e, scratch).collect()}
+    f = spark.createDataFrame([(x,) for x in "abc"], "name string")
+    r = {x["node"]: x["rank"] for x in graph.pagerank(e, graph.nodes_of(f, e), scratch).collect()}
     assert r["db:connect"] == pytest.approx(0.413906, abs=1e-4) and r["stripe:api"] == pytest.approx(0.188742, abs=1e-4) and sum(r.values()) == pytest.approx(1)
+    more = {x["node"]: x["rank"] for x in graph.pagerank(e, graph.nodes_of(f.union(spark.createDataFrame([("alone",)], "name string")), e), scratch).collect()}
+    assert len(more) == 6 and more["alone"] == pytest.approx(more["a"]) and sum(more.values()) == pytest.approx(1)
     stars = spark.createDataFrame([("h1", "x"), ("h1", "y"), ("h2", "z"), ("h2", "w")], "src string, dst string")
-    c = {x["node"]: x["community"] for x in graph.communities(stars, scratch).collect()}
-    assert len(c) == 6 and c["h1"] == c["x"] == c["y"] != c["h2"] == c["z"] == c["w"]
-    assert graph.pagerank(e.limit(0), scratch).count() == 0
+    c = {x["node"]: x["community"] for x in graph.communities(stars, graph.nodes_of(spark.createDataFrame([("h1",), ("h2",), ("lone",)], "name string"), stars), scratch).collect()}
+    assert c == {"h1": "h1", "x": "h1", "y": "h1", "h2": "h2", "z": "h2", "w": "h2", "lone": "lone"}
+    assert graph.pagerank(e.limit(0), graph.nodes_of(f.limit(0), e.limit(0)), scratch).count() == 0
 
 
 def test_repository_questions(spark):
@@ -69,6 +88,12 @@ def test_repository_questions(spark):
     a, b = agentic.call_order("which files call tool authTool before bluetoothTool?")
     assert [r["name"] for r in agentic.calls_before(calls, F.lit(a), F.lit(b)).collect()] == ["f"]
     assert agentic.validate_request({"query": " x "}) == ("x", 5)
+    text = spark.createDataFrame([("src/f.js", "a\nfunction f() {\n  authTool();\n}\n")], "path string, text string")
+    named = spark.createDataFrame([("f", "f.js", 2, 4, ["authTool", "bluetoothTool"])] * 2, "name string, file string, start_line int, end_line int, calls array<string>")
+    row = agentic.ask(text, named, "which files call authTool before bluetoothTool").collect()
+    assert [tuple(x)[:3] for x in row] == [("src/f.js", 2, 4)] and agentic.plan("how are they sorted")["intent"] == "semantic"
+    bench = agentic.benchmark(text, named, [("which files call authTool before bluetoothTool", {"f.js"}), ("where is nothing used", {"f.js"})])
+    assert [(b["precision"], b["recall"]) for b in bench] == [(1.0, 1.0), (0.0, 0.0)]
     for bad in ({"query": ""}, {"query": "x", "top_k": True}, {"query": "x", "top_k": 11}, []):
         with pytest.raises(ValueError):
             agentic.validate_request(bad)
@@ -85,6 +110,19 @@ def test_versions(spark, scratch, tmp_path):
     assert {r["doc_id"]: r["status"] for r in status.collect()} == {"u": "unchanged", "c": "changed", "r": "removed", "n": "added"}
     snap.write(index)
     assert {r["doc_id"]: r["v"][0] for r in snap.read().collect()} == {"u": 4.0, "c": 3.0, "n": 5.0}
+    broken = tmp_path / "ix" / "snapshot-3"  # a write that died: no mark of success
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert snap.read().count() == 3
+    snap.write(snap.read())
+    assert snap.numbers() == ([1, 2, 4], 4) and snap.read().count() == 3
+    (broken / "_SUCCESS").write_bytes(b"")
+    for n in (1, 2, 4):
+        (tmp_path / "ix" / f"snapshot-{n}" / "_SUCCESS").unlink()
+    with pytest.raises(Exception, match="Parquet"):  # a failing read is never taken for an empty index
+        snap.read().collect()
+    kept, purged, left = versioning.compact(old, spark.createDataFrame([("r",), ("r",), ("unknown",)], "doc_id string"))
+    assert {r["doc_id"] for r in kept.collect()} == {"u", "c"} and purged.first()["purged"] == 1 and left.count() == 0
     import math
 
     v = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate((0, 0.25, 0.5, 2.0))], "id bigint, v array<double>")
@@ -106,8 +144,23 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src/sub").mkdir(parents=True)
     (tmp_path / "src/sub/m.js").write_text(JS)
     (tmp_path / "src/skip.py").write_text("x")
-    f = io.scan_sources(spark, str(tmp_path / "src"))
+    f = io.scan_sources(spark, str(tmp_path / "src"), "m*.js")
     assert [r["path"] for r in f.collect()] == ["sub/m.js"]
+    (tmp_path / "src/a b+c.js").write_text("x")
+    assert {r["path"] for r in io.scan_sources(spark, f"file://{tmp_path}/src/", "*.js").collect()} == {"sub/m.js", "a b+c.js"}
+    import pyarrow as pa
+
+    t = pa.table({"k": [1, 2, 3], "s": ["a", None, "c"]})
+    with pa.ipc.new_file(str(tmp_path / "t.arrow"), t.schema) as w:
+        w.write_table(t, max_chunksize=2)
+    with pa.ipc.new_stream(str(tmp_path / "u.arrow"), t.schema) as w:
+        w.write_table(t)
+    for name in ("t.arrow", "u.arrow"):
+        assert sorted(map(tuple, io.read_table(spark, str(tmp_path / name)).collect())) == [(1, "a"), (2, None), (3, "c")]
+    (tmp_path / "bad.parquet").mkdir()
+    (tmp_path / "bad.parquet" / "x.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        io.first_available(spark, [str(tmp_path / "bad.parquet")], [("z", "z")])
     assert {r["doc_id"] for r in io.function_corpus(f).collect()} == {"sub/m.js:1:outer", "sub/m.js:2:inner", "sub/m.js:7:run", "sub/m.js:8:arrow"}
     df = spark.createDataFrame([("1", "a"), ("2", " ")], "doc_id string, text string")
     io.prepare(df, str(tmp_path / "t.parquet"))

@@ -58,3 +58,10 @@ def test_codec(spark):
     df = df.withColumn("g", codec.gaps(F.col("v"))).withColumn("b", codec.vbyte_encode("g")).withColumn("r", codec.vbyte_decode("b"))
     rows = df.select("g", "v", codec.from_gaps(F.col("r")).alias("w")).collect()
     assert rows[0]["g"] == [2, 3, 7, 93, 895] and rows[0]["w"] == ids[:5] and rows[1]["w"] == [] and rows[2]["w"] is None
+    import random
+
+    rng = random.Random(2)
+    p = [(t, k) for t in ("hot", "cold") for k in rng.sample(range(20_000), 3000 if t == "hot" else 3)]
+    blocks = codec.postings_blocks(spark.createDataFrame(p, "term string, k bigint"), "term", "k")
+    assert blocks.agg(F.max("n")).first()[0] <= codec.BLOCK and blocks.count() > 5
+    assert sorted(map(tuple, codec.postings_of(blocks, "term", "k").collect())) == sorted(p)
