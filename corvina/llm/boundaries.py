@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.llm.textkit import slices
+
 _DEFINES = ("def ", "class ", "async ", "function ", "func ", "fn ", "public ", "private ", "@", "export ", "interface ", "struct ", "impl ")
 SCHEMA = "piece_no int, char_from int, char_to int, piece string"
 
@@ -48,21 +50,28 @@ def strengths(text: str) -> np.ndarray:
 
 
 def cuts(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
-    """(from, to) of each piece: at most max_size long, each begins overlap before the end of the one before it."""
+    """(from, to) of each piece: at most max_size long, each begins overlap before the end of the one before it.
+
+    The sparse table covers a stretch of a few pieces at a time, so that its size follows max_size and not the text."""
     n = len(text)
     if n <= max_size:
         return [(0, n)]
-    key = strengths(text).astype(np.int64) * (n + 2) + np.arange(n + 1)  # the position breaks ties rightward
-    table = [key]
-    while (1 << len(table)) <= max_size + 1:
-        a, h = table[-1], 1 << (len(table) - 1)
-        if len(a) <= h:
-            break
-        table.append(np.maximum(a[:-h], a[h:]))
+    strength = strengths(text)
+    span = max(8 * max_size, 1 << 16)
+    base, table = -1, []
 
     def strongest(lo: int, hi: int) -> int:
+        nonlocal base, table
+        if base < 0 or lo < base or hi >= base + len(table[0]):
+            base = lo
+            part = strength[lo : lo + span].astype(np.int64)
+            table = [part * (span + 1) + np.arange(len(part))]  # the position breaks ties rightward
+            while (1 << len(table)) <= max_size + 1 and len(table[-1]) > 1 << (len(table) - 1):
+                a, h = table[-1], 1 << (len(table) - 1)
+                table.append(np.maximum(a[:-h], a[h:]))
+        lo, hi = lo - base, hi - base
         k = (hi - lo + 1).bit_length() - 1
-        return int(max(table[k][lo], table[k][hi - (1 << k) + 1])) % (n + 2)
+        return base + int(max(table[k][lo], table[k][hi - (1 << k) + 1])) % (span + 1)
 
     out, start = [], 0
     least = max(overlap + 1, max_size // 2)
@@ -85,7 +94,7 @@ def split_oversized(df: DataFrame, text_col: str, max_size: int, overlap: int, k
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema.fields[:-1]) + ", " + SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(p.start, p.stop - p.start) for b in batches for p in slices(b.column(b.num_columns - 1).to_pylist())):
             row, no, lo, hi, piece = [], [], [], [], []
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 for k, (x, y) in enumerate(cuts(t, max_size, overlap)):

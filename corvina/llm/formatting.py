@@ -1,7 +1,8 @@
 """Problem 3: one record for all that differ only in formatting, with the number of copies.
 
-The text column is dictionary-encoded batch by batch, each distinct value is canonicalised once into field values, every
-field value becomes an integer identifier, and a record becomes its sorted tuple of identifiers, held as a 128-bit key.
+The text column is dictionary-encoded batch by batch, each distinct text is canonicalised once into field values, every
+field value becomes an integer identifier by a dictionary of the values met (the identifier follows from the value, so that the
+dictionaries of all workers agree), and a record becomes its sorted tuple of identifiers, held as a 128-bit key.
 Only (identifier of the row, key) is shuffled, never a text."""
 
 from __future__ import annotations

@@ -4,7 +4,10 @@ A signature of 128 minimum hashes of a text's word shingles is cut into 32 bands
 candidates. The signatures of a candidate pair are then compared in batches: after each batch the posterior probability that
 the similarity reaches the threshold (uniform prior) decides whether the pair is given up, at a chosen probability of missing
 a true pair; what survives is compared exactly on its shingles. Rows that are the same but for formatting are one node, so a
-group of copies of any size is a single signature."""
+group of copies of any size is a single signature.
+
+A band that many different texts share (a common licence head, say) would be joined with itself in one task. Texts in such bands
+are compared another way, which is exact: by their rarest shingles (``prefixes``), among which the common head does not count."""
 
 from __future__ import annotations
 
@@ -13,12 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvina.llm import prefixes
 from corvina.llm.textkit import Hasher, mix, record_key, shingle_rows, slices
 from corvina.runtime import Scratch
 
 HASHES, ROWS, STEP = 128, 4, 32
+HOT = 2_000  # members above which a band is not joined with itself
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A = (_SEEDS | np.uint64(1)).astype(np.uint32)
 _B = (_SEEDS >> np.uint64(32)).astype(np.uint32)
@@ -97,9 +103,15 @@ def nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return every.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sig", "bands"), "id").alias("x")).select("k1", "k2", "id", "x.n", "x.sig", "x.bands")
 
 
-def candidates(node: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id_a, id_b) that agree in a band and whose numbers of shingles allow the threshold."""
+def shared_bands(node: DataFrame) -> DataFrame:
+    """(id, n, band, members): the bands of nodes that more than one node has; counted and filtered by one shuffle."""
     rows = node.filter("n > 0").select("id", "n", F.explode("bands").alias("band"))
+    return rows.withColumn("members", F.count("*").over(W.partitionBy("band"))).filter("members > 1")
+
+
+def candidates(bands: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """Distinct (id_a, id_b) that agree in a band of at most ``hot`` members and whose numbers of shingles allow the threshold."""
+    rows = bands.filter(F.col("members") <= hot)
     a, b = rows.select("band", F.col("id").alias("id_a"), F.col("n").alias("n_a")), rows.select("band", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     near = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
     return a.join(b, "band").filter((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b").distinct()
@@ -161,14 +173,19 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float, on: tuple[str, .
     return kept.mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, threshold: float = 0.7, size: int = 3, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, threshold: float = 0.7, size: int = 3, miss: float = 1e-4, hot: int = HOT) -> DataFrame:
     """(id_a, id_b, sim): pairs of classes of same texts, each named by its smallest id, with sim >= threshold; id_a < id_b.
 
-    Null and blank texts, and texts of fewer than ``size`` words, are near nothing. A pair exactly at 0.7 shares no band with
-    probability 2e-4, one at 0.75 with 5e-6; the verification gives up a true pair with probability miss at most. There is no
-    cap on the members of a band: a band that many different texts share is joined like any other."""
+    Null and blank texts, and texts of fewer than ``size`` words, are near nothing; null ids are left out. A pair exactly at 0.7
+    shares no band with probability 2e-4, one at 0.75 with 5e-6; the verification gives up a true pair with probability miss at
+    most. Texts in a band of more than ``hot`` members are compared with each other by an exact join in place of that band, so
+    there is no cap on the members of a band, and no pair is lost for it."""
     node = scratch.keep(nodes(df, id_col, text_col, size).select("id", "n", "sig", "bands"))
-    left = scratch.keep(prune(candidates(node, threshold), node.select("id", "sig"), threshold, miss))
+    bands = scratch.keep(shared_bands(node))
+    left = scratch.keep(prune(candidates(bands, threshold, hot), node.select("id", "sig"), threshold, miss))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+    if bands.filter(F.col("members") > hot).limit(1).count():
+        crowd = scratch.keep(texts.join(bands.filter(F.col("members") > hot).select("id").distinct(), "id", "left_semi"))
+        left = scratch.keep(left.unionByName(prefixes.self_candidates(crowd, size, threshold, scratch.keep)).distinct())
     need = left.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    text = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
-    return verify(left, shingle_sets(text, size), threshold)
+    return verify(left, shingle_sets(texts.join(need, "id", "left_semi"), size), threshold)

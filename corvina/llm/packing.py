@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from corvina.llm.keyed import join_keyed
 from corvina.runtime import Scratch
 
+BUCKETS = 1024  # into which texts are hashed to be ranked; more than one task has cores for
 TOKEN = r"[a-z_][a-z0-9_]*|[0-9]+"
 
 
@@ -63,15 +64,14 @@ def slots(found: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, np.ndarr
     return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, capacity: int, scratch: Scratch, buckets: int | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str, text_col: str, capacity: int, scratch: Scratch, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, piece_no, tokens, container): every text with a token in exactly one container, none above capacity.
 
     Texts above capacity, and only those, are divided into pieces of capacity tokens and a rest. Null texts and texts without
-    tokens take no room and do not come out; null ids are kept as they are. Equal lengths are placed by id, then by piece."""
-    spark = df.sparkSession
+    tokens take no room and do not come out; null ids are kept as they are. Equal lengths are placed by bucket (a hash of id and
+    piece), then by id and piece: the same on every cluster, as long as ``buckets`` is."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = df.select(F.col(id_col).cast("bigint").alias("doc_id"), token_count(text_col).alias("n")).filter("n > 0")
     items = items.select("doc_id", F.expr(f"posexplode(transform(sequence(0, CAST((n - 1) DIV {capacity} AS INT)), k -> CAST(least({capacity}, n - k * {capacity}) AS INT)))").alias("piece_no", "tokens"))
     items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.llm import boundaries, formatting, mixing, neardup, overlap, packing, residue, splits, topn
@@ -29,6 +29,26 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any division: texts divided, pieces above the limit, neighbours without the exact overlap, and texts whose
+    pieces, laid over each other, are not the text."""
+    limits, out = _limits(spark, d), None
+    for field in FIELDS:
+        column, (size, overlap_) = field.split(".")[1], limits[field]
+        df = load(spark, d, "download")
+        pieces = boundaries.split_oversized(df, column, size, overlap_, keep=["pair_id"])
+        w = Window.partitionBy("pair_id").orderBy("piece_no")
+        p = pieces.withColumn("before", F.lag("char_to").over(w)).withColumn("own", F.substring("piece", F.when(F.col("piece_no") > 0, overlap_ + 1).otherwise(1), 1 << 30))
+        bad = (F.col("char_from") != F.coalesce(F.col("before") - overlap_, F.lit(0))) | (F.char_length("piece") != F.col("char_to") - F.col("char_from"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")  # the pieces of one text
+        per = p.groupBy("pair_id").agg(F.sum((F.char_length("piece") > size).cast("int")).alias("over"), F.sum(bad.cast("int")).alias("misplaced"), F.md5(text).alias("h"))
+        j = per.join(df.select("pair_id", F.md5(column).alias("h0")), "pair_id")
+        got = j.agg(F.count("*").alias("texts"), F.sum("over").alias("over"), F.sum("misplaced").alias("misplaced"), F.sum((F.col("h") != F.col("h0")).cast("int")).alias("not_whole"))
+        got = got.select(F.lit(field).alias("field_name"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("texts", "over", "misplaced", "not_whole")))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).filter("piece_no = 1").select("pair_id", "field_name")
 
@@ -93,18 +113,25 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(groups, targets)
 
 
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each split reached of its target, and its largest group."""
+    return splits.split_shares(p5_splits(spark, d), load(spark, d, "split_targets")).withColumn("reached_share", F.round("reached_share", 9))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Leakage(load(spark, d, "download"), Scratch(spark, "p6")).pairs()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the other splits that are in training as well, per split and source, by each kind of overlap and by any."""
+    """Rows of the other splits that are in training as well, per split and source, by each kind of overlap and by any, and their
+    mean overlap fraction (0 for a row that shares no chunk)."""
     df = load(spark, d, "download")
-    hit = overlap.Leakage(df, Scratch(spark, "p6")).rows().groupBy("id").agg(F.collect_set("by").alias("by"))
+    found = overlap.Leakage(df, Scratch(spark, "p6"))
+    hit = found.rows().groupBy("id").agg(F.collect_set("by").alias("by")).join(found.row_fractions(), "id", "full_outer")
     j = df.filter("coalesce(split, '') <> 'train'").select("pair_id", "split", "source").join(hit.withColumnRenamed("id", "pair_id"), "pair_id", "left")
     count = lambda c: F.count(F.when(c, 1))
     kinds = [count(F.array_contains("by", k)).alias(f"by_{k}") for k in ("query", "code", "corpus_id")]
-    return j.groupBy("split", "source").agg(F.count("*").alias("n_rows"), *kinds, count(F.col("by").isNotNull()).alias("overlapping"))
+    return j.groupBy("split", "source").agg(F.count("*").alias("n_rows"), *kinds, count(F.col("by").isNotNull()).alias("overlapping"), F.round(F.avg(F.coalesce("fraction", F.lit(0.0))), 6).alias("mean_fraction"))
 
 
 def p6_fractions(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +154,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.round(F.sum("t") / F.count("*") / size, 4).alias("filled"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: texts, tokens and pieces placed, containers above capacity, texts not placed whole."""
+    size, packed = _limits(spark, d)["documents.text"][0], Scratch(spark, "p7").keep(_packed(spark, d))
+    n = load(spark, d, "documents").select("doc_id", packing.token_count("text").alias("n")).filter("n > 0")
+    per = packed.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"))
+    lost = n.join(per, "doc_id", "left").filter("t IS NULL OR t <> n").agg(F.count("*").alias("not_whole"))
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("t")).filter(F.col("t") > size).agg(F.count("*").alias("over"))
+    total = per.agg(F.count("*").alias("texts"), F.sum("k").alias("pieces"), F.sum("t").alias("tokens"))
+    return total.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(over))  # one row each
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).filter("piece_no = 1").select("doc_id")
 
@@ -147,7 +185,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix_inputs(spark, d)[1].filter("short").select("source")
+    docs, rate = _mix_inputs(spark, d)
+    return mixing.exhausted(mixing.shares(mixing.mix(docs, rate), rate)).select("source")
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

@@ -54,33 +54,35 @@ def connected(df: DataFrame, id_col: str, keys: tuple[str, str], scratch: Scratc
     return join_keyed(links, roots, ["a"], "n", "left").select(F.col("id").alias("pair_id"), F.coalesce("root", "a").alias("group_id"))
 
 
-def assign_splits(groups: DataFrame, targets: dict[str, float], seed: str = "corvina", large_share: float = 0.001) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: dict[str, float], seed: str = "corvina") -> DataFrame:
     """(pair_id, group_id, split) for groups (pair_id, group_id), passed as a table.
 
-    Weighted rendezvous: a group goes to the split with the greatest weight / -ln(u), u a hash of seed, split and group.
-    A group above large_share of all rows (at most 1 / large_share of them) could upset the proportions by itself: these are
-    dealt first, largest first, to the split with the most room left, and the weights of the others are the room that remains.
-    Splits without a positive target receive nothing."""
+    Weighted rendezvous for every group: it goes to the split with the greatest weight / -ln(u), u a hash of seed, split and group,
+    the weights being the targets. Where a group goes thus hangs on its id alone, and rows that come to other groups move nothing -
+    but for one rule of what fits: a split whose whole target is smaller than the group's share of all rows does not take it, if
+    any split is large enough (fewer than 1 / the smallest target of groups can be so large). ``split_shares`` reports what was
+    reached, and the largest groups' part in it. Splits without a positive target receive nothing."""
     good = {s: float(w) for s, w in targets.items() if s is not None and w is not None and w > 0}
     if not good:
         raise ValueError("no split has a positive share")
-    names = sorted(good)
-    total_w = sum(good.values())
-    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
-    total = groups.count()
-    large = sorted(sizes.filter(F.col("n") > max(total * large_share, 1)).collect(), key=lambda r: (-r["n"], r["group_id"]))
-    room = {s: good[s] / total_w * total for s in names}
-    fixed: dict[int, str] = {}
-    for r in large:
-        s = max(names, key=lambda x: (room[x], x))
-        fixed[r["group_id"]], room[s] = s, room[s] - r["n"]
-    weight = {s: max(room[s], 0.0) for s in names} if fixed else good
-    if not any(weight.values()):
-        weight = good
+    names, total_w = sorted(good), sum(good.values())
     u = lambda s: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(s), F.col("group_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    best = F.greatest(*[F.struct((F.lit(weight[s]) / -F.ln(u(s))).alias("k"), F.lit(s).alias("s")) for s in names]) if len(names) > 1 else F.struct(F.lit(0.0).alias("k"), F.lit(names[0]).alias("s"))
-    out = groups.withColumn("split", best["s"])
-    if fixed:
-        put = groups.sparkSession.createDataFrame(list(fixed.items()), "group_id bigint, put string")
-        out = out.join(F.broadcast(put), "group_id", "left").withColumn("split", F.coalesce("put", "split")).drop("put")
-    return out.select("pair_id", "group_id", "split")
+    room = {s: good[s] / total_w for s in names}
+    widest = max(room.values())
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
+    share = F.least(F.col("n") / groups.count(), F.lit(widest))
+    score = lambda s: F.when(F.lit(room[s]) >= share, F.lit(good[s]) / -F.ln(u(s))).otherwise(F.lit(-1.0))
+    best = F.greatest(*(F.struct(score(s).alias("k"), F.lit(s).alias("s")) for s in names)) if len(names) > 1 else F.struct(F.lit(0.0).alias("k"), F.lit(names[0]).alias("s"))
+    put = sizes.select("group_id", "n", best["s"].alias("split"))
+    return join_keyed(groups, put, ["group_id"], "n").select("pair_id", "group_id", "split")
+
+
+def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, target_share, n_rows, reached_share, n_groups, largest_group): one row per target, of (pair_id, group_id, split).
+
+    reached_share is of all rows; largest_group is the number of rows of a split's largest group, 0 if it has none."""
+    per = assigned.groupBy("split", "group_id").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.max("n").alias("largest_group"))
+    total = per.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total"))
+    j = targets.select("split", "target_share").join(per, "split", "left").crossJoin(F.broadcast(total))  # one row
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return j.select("split", "target_share", zero("n_rows"), F.when(F.col("total") > 0, F.coalesce("n_rows", F.lit(0)) / F.col("total")).otherwise(0.0).alias("reached_share"), zero("n_groups"), zero("largest_group"))

@@ -48,11 +48,29 @@ class _Obj(list):
 
 
 def _flat(value: object) -> str:
-    if isinstance(value, _Obj):
-        return "".join(sorted(squeeze(k) + _flat(v) for k, v in value))
-    if isinstance(value, list):
-        return "".join(map(_flat, value))
-    return squeeze({None: "null", True: "true", False: "false"}[value] if value is None or isinstance(value, bool) else str(value))
+    """A JSON value as one text: fields of objects in order of their texts, at every depth. Without recursion, so that no depth that the
+    parser accepts is too much."""
+    todo: list[tuple[object, list[str] | int | None]] = [(value, None)]
+    done: list[str] = []
+    while todo:
+        x, inner = todo.pop()
+        if isinstance(inner, list):  # an object whose values are done
+            got = done[len(done) - len(inner) :]
+            del done[len(done) - len(inner) :]
+            done.append("".join(sorted(k + v for k, v in zip(inner, got))))
+        elif isinstance(inner, int):  # a list whose elements are done
+            got = done[len(done) - inner :]
+            del done[len(done) - inner :]
+            done.append("".join(got))
+        elif isinstance(x, _Obj):
+            todo.append((None, [squeeze(k) for k, _ in x]))
+            todo += [(v, None) for _, v in reversed(x)]
+        elif isinstance(x, list):
+            todo.append((None, len(x)))
+            todo += [(v, None) for v in reversed(x)]
+        else:
+            done.append(squeeze({None: "null", True: "true", False: "false"}[x] if x is None or isinstance(x, bool) else str(x)))
+    return done[0]
 
 
 def canon_fields(text: str | None) -> list[str]:
@@ -84,9 +102,24 @@ def value_id(value: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+_IDS: dict[str, tuple[int, int]] = {}
+
+
+def field_id(value: str) -> tuple[int, int]:
+    """value_id by a dictionary of the short values that a worker has met, bounded in size."""
+    if len(value) > 200:
+        return value_id(value)
+    got = _IDS.get(value)
+    if got is None:
+        if len(_IDS) > 200_000:
+            _IDS.clear()
+        got = _IDS[value] = value_id(value)
+    return got
+
+
 def record_key(text: str | None) -> tuple[int, int] | None:
     """128-bit key of the record's sorted tuple of field-value identifiers; None for a blank text."""
-    ids = sorted(map(value_id, canon_fields(text)))
+    ids = sorted(map(field_id, canon_fields(text)))
     if len(ids) < 2:
         return ids[0] if ids else None
     d = hashlib.blake2b(repr(ids).encode(), digest_size=16).digest()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.llm import boundaries, formatting, keyed, mixing, neardup, overlap, packing, residue, splits, textkit, topn
+from corvina.llm import boundaries, formatting, keyed, mixing, neardup, overlap, packing, prefixes, residue, splits, textkit, topn
 
 
 def rows(df):
@@ -50,6 +50,18 @@ def test_cuts_match_brute_force_and_prefer_strong_boundaries():
     assert boundaries.cuts(code, 30, 0)[0][1] == code.index("def b")
 
 
+def test_cuts_of_a_text_longer_than_the_table():
+    rng = random.Random(21)
+    t = "".join(rng.choice("abcdef \n.") for _ in range(200_000))
+    s, start, want = boundaries.strengths(t), 0, []
+    while len(t) - start > 300:
+        lo = start + 150
+        to = lo + max(range(151), key=lambda p: (s[lo + p], p))
+        want.append((start, to))
+        start = to - 40
+    assert boundaries.cuts(t, 300, 40) == [*want, (start, len(t))]
+
+
 def test_split_oversized_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 10), (4, "y" * 11), (4, "y" * 11)], "piece_no bigint, text string")
     got = boundaries.split_oversized(df.withColumnRenamed("piece_no", "id"), "text", 10, 2, ["id"])
@@ -88,6 +100,11 @@ def test_record_keys():
     for blank in (None, "", " \n", "{}", "--- !!"):
         assert k(blank) is None
     assert k("{" * 5000) is None and k("é" * 100_000) is not None
+    deep = lambda n, a, b: f'{{"x": 1, "y": [{{{a}, {b}}}]}}' if n == 0 else f'{{"x": {deep(0, a, b)}, "y": {n}}}'
+    assert k(deep(1, '"p": 1', '"q": 2')) == k(deep(1, '"q": 2', '"p": 1')) != k(deep(1, '"q": 1', '"p": 2'))
+    nest = lambda n, inner: '{"a": ' * n + inner + "}" * n
+    assert k(nest(3000, '{"p": 1, "q": 2}')) == k(nest(3000, '{"q": 2, "p": 1}')) is not None
+    assert k("[" * 3000 + "]" * 3000) is None and k(nest(10**5, "1")) is not None
 
 
 @pytest.mark.parametrize("hot", [10**6, 3])
@@ -155,6 +172,25 @@ def test_posterior_bounds_keep_true_pairs():
     assert lost / 3000 < 0.01 and table[-1][1] > 60
 
 
+def test_a_band_that_many_unlike_texts_share(spark, scratch):
+    """A common head puts thousands of unlike texts into the same bands; near pairs among them are found all the same."""
+    rng = random.Random(22)
+    licence = " ".join(f"licence{i}" for i in range(90))
+    texts = [f"{licence} " + " ".join(f"own{i}x{rng.randint(0, 10**6)}" for _ in range(60)) for i in range(3000)]
+    want = set()
+    for i in range(40):
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "edited"
+        want.add((i, len(texts)))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").repartition(4)
+    node = scratch.keep(neardup.nodes(df, "id", "t", 3).select("id", "n", "sig", "bands"))
+    assert neardup.shared_bands(node).agg(F.max("members")).first()[0] > 500  # the crowd is there
+    got = neardup.near_duplicates(df, "id", "t", scratch, hot=100)
+    assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want
+    assert rows(got.select("id_a", "id_b")) == rows(neardup.near_duplicates(df, "id", "t", scratch, hot=10**9).select("id_a", "id_b"))
+
+
 # --- 5
 @pytest.mark.parametrize("hot", [10**6, 4])
 def test_components_match_union_find(spark, scratch, hot, monkeypatch):
@@ -192,12 +228,40 @@ def test_components_match_union_find(spark, scratch, hot, monkeypatch):
 
 def test_split_shares(spark):
     g = spark.range(4000).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 1300, 0).otherwise(F.col("id")).alias("group_id"))
-    got = {r["split"]: r["count"] / 4000 for r in splits.assign_splits(g, {"train": 0.8, "valid": 0.1, "test": 0.1}).groupBy("split").count().collect()}
-    assert abs(got["train"] - 0.8) < 0.03 and abs(got["test"] - 0.1) < 0.02
+    targets = spark.createDataFrame([("train", 0.8), ("valid", 0.1), ("test", 0.1), ("none", 0.0)], "split string, target_share double")
+    for seed in map(str, range(5)):  # a third of all rows never lands in a split of a tenth
+        put = splits.assign_splits(g, {"train": 0.8, "valid": 0.1, "test": 0.1, "none": 0.0}, seed)
+        assert {r["split"] for r in put.filter("group_id = 0").select("split").distinct().collect()} == {"train"}
+    got = {r["split"]: r for r in splits.split_shares(put, targets).collect()}
+    assert abs(got["test"]["reached_share"] - 0.0675) < 0.02 and got["none"]["n_rows"] == 0 and got["train"]["largest_group"] == 1300 and sum(r["n_rows"] for r in got.values()) == 4000
+    assert splits.split_shares(put.limit(0), targets).count() == 4 and splits.assign_splits(g.limit(0), {"a": 1.0}).count() == 0
+
+
+def test_new_rows_move_no_other_group(spark):
+    g = spark.range(3000).select(F.col("id").alias("pair_id"), F.col("id").alias("group_id"))
+    more = g.unionByName(spark.range(3000, 4500).select(F.col("id").alias("pair_id"), (F.col("id") % 7).alias("group_id")))
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    a, b = ({r["group_id"]: r["split"] for r in splits.assign_splits(x, shares).collect()} for x in (g, more))
+    assert len(a) == 3000 and a == b
 
 
 # --- 6
-def test_leakage_matches_brute_force(spark, scratch):
+def test_chunks_of_grain_one_are_windows():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 50, 400).astype(np.uint64)
+    d, w = overlap.chunks(h, 3, 1)
+    assert len(d) == len({tuple(h[i : i + 3]) for i in range(398)}) and (w == 1).all()
+    d, w = overlap.chunks(h, 3, 6)
+    assert 30 < len(d) < 120 and w.sum() <= 398
+    e = h.copy()
+    e[200] = 999  # an edit moves no cut but those beside it
+    assert len(set(d) - set(overlap.chunks(e, 3, 6)[0])) <= 3
+    assert len(overlap.chunks(h[:2], 3, 6)[0]) == 1 and overlap.chunks(h[:1], 3, 6)[1].tolist() == [1]
+
+
+@pytest.mark.parametrize("block", [5000, 3])
+def test_leakage_matches_brute_force(spark, scratch, block, monkeypatch):
+    monkeypatch.setattr(prefixes, "BLOCK", block)  # 3: every class, key and shingle of some rows is split
     rng = random.Random(8)
     base = [program(rng, rng.randint(25, 60)) for _ in range(20)]
 
@@ -227,10 +291,13 @@ def test_leakage_matches_brute_force(spark, scratch):
                 if hit:
                     want.add((a[0], b[0]))
     df = spark.createDataFrame(data, "pair_id bigint, split string, query string, code string, corpus_id string").repartition(4)
-    k = overlap.Leakage(df, scratch, least=0.05)
-    got = set(rows(k.pairs()))
-    assert got <= want and len(want - got) <= 0.01 * len(want)
-    outside = {i for p in got for i in p if by[i][1] != "train"}
+    k = overlap.Leakage(df, scratch)
+    assert set(rows(k.pairs())) == want
+    for r in k.near.collect():  # the fractions of a pair make up its similarity
+        x, y = (by[r[c]][2 if r['field'] == 'query' else 3] for c in ('id_a', 'id_b'))
+        assert brute_sim(x, y) == pytest.approx(1 / (1 / r['part_a'] + 1 / r['part_b'] - 1))
+    assert {r['id'] for r in k.row_fractions().collect()} <= {r[0] for r in data if r[1] != 'train'}
+    outside = {i for p in want for i in p if by[i][1] != "train"}
     assert {r["id"] for r in k.rows().collect()} == outside
     assert all(0 < r["fraction"] <= 1 for r in overlap.overlap_fractions(k.shared).collect())
     assert overlap.Leakage(df.limit(0), scratch).pairs().count() == 0
@@ -253,11 +320,12 @@ def test_fraction_of_copies_in_both_splits(spark, scratch):
     assert set(got) == {0, 4, 6, 10} and got[0] == got[4] == got[10] == 1 and 0 < got[6] < 1
 
 
-def test_leakage_of_short_records_matches_brute_force(spark, scratch):
+@pytest.mark.parametrize("most", [12, 40, 200])
+def test_leakage_of_short_records_matches_brute_force(spark, scratch, most):
     rng = random.Random(16)
     data = []
     for i in range(300):
-        w = program(rng, rng.randint(5, 40)).split()
+        w = program(rng, rng.randint(most // 8 + 4, most)).split()
         v = list(w)
         for _ in range(rng.randint(1, 2)):
             at = rng.choice([0, len(v) - 1, rng.randrange(len(v))])
@@ -314,6 +382,7 @@ def test_mix(spark):
     share = {r["source"]: r for r in mixing.shares(got, rate).collect()}
     assert abs(share["big"]["mixed_tokens"] - 0.5 * by["big"]["all_tokens"]) < 600 and share["absent"]["mixed_tokens"] == 0
     assert mixing.mix(docs.limit(0), mixing.rates(docs.limit(0), targets)).count() == 0
+    assert {r["source"] for r in mixing.exhausted(mixing.shares(got, rate)).collect()} == {r["source"] for r in rate.filter("short").collect()} == {"small", "absent"}
 
 
 # --- 9
