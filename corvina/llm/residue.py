@@ -1,10 +1,14 @@
 """Problem 9: template residue, filler and server notices, by character n-gram models and likelihood-ratio windows.
 
-Models of hashed character 5-grams: filler words, stand-in phrases and notices are fitted on seed texts, natural prose on the distinct
-sentences of the collection (a table of fixed size, counted in parallel). A text's own prose - code, quotations and markup masked - is scored
-by the log ratio of a model to natural prose; windows with a positive mean are residue. Unfilled slots ({{ x }}, __X__, [x here])
-are found by fixed patterns, not by a model: a match becomes one reserved symbol, and one is enough. A text is excluded by
-coverage: any slot, any sentence mostly filler, or notices making up most of its prose."""
+Models of hashed character 5-grams: filler words, stand-in phrases, notices and unfilled slots are fitted on seeds, natural prose on
+the distinct sentences and lines of the collection (tables of fixed size, counted in parallel). A text's own prose - code, quotations
+and markup masked - is scored by the log ratio of a model to natural prose; windows in which the ratio is high are residue.
+
+Slots ({{ x }}, __X__, [x here]) have two models, one of the wording and one of the shape: runs of small letters, capitals and digits are
+shortened to two, so that what is inside a slot does not matter, and what marks it does. N-grams of letters alone say nothing of a
+slot. The best windows of a line, one of each model, make up its evidence.
+
+A text is excluded by coverage: notices making up enough of its prose, any sentence mostly filler, any line with a slot."""
 
 from __future__ import annotations
 
@@ -28,7 +32,8 @@ SENTENCE_COVER = 0.7  # part of a sentence that windows must cover to make it re
 NOTICE_COVER = 0.12  # part of a text's prose that notices must make up
 EVIDENCE = 11.0  # summed log ratio that a sentence must reach: prior odds of 60,000 to one against residue
 DENSITY = 0.5  # log ratio per character that a notice must reach, which a sentence that mentions one does not
-SLOT, SLOT_BYTE = "\x01", b"\x01"  # the reserved symbol of an unfilled slot
+SLOT_WINDOW = 6  # n-grams of a window of the slot models
+SLOT_EVIDENCE = 5.3  # summed log ratio that a line must reach: midway between sound lines (0) and slots (10.6) of sf0.1
 
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~).*?(?:\n[ \t]*\1|\Z)", re.S)
 # a notebook cell ends at its output, or at a blank line before a line that does not begin like code
@@ -36,26 +41,18 @@ _CELL = re.compile(r"^In ?\[\d*\]:.*?(?=^Out ?\[\d*\]:|\n\s*\n(?![ \t@#/(]|def |
 _INLINE = re.compile(r"``?[^`\n]*``?|<(code|pre|kbd|tt)\b[^>]*>.*?</\1>", re.S | re.I)
 _CODE_LINE = re.compile(r"(?m)^(?:(?: {4}|\t).*|(?:def|class|async|function|const|let|var|from|import|return|export|if|for|while|try|else|elif|switch|case|raise|throw|with|del|assert|print|@|//|#include|Out ?\[|In ?\[).*[:;{(=,)\]}].*|[ \t]*>.*)$")
 _QUOTED = {'"': re.compile(r"\"[^\"\n]{1,200}\""), "“": re.compile(r"“[^”\n]{1,200}”"), "„": re.compile(r"„[^“”\n]{1,200}[“”]"), " '": re.compile(r"(?<= )'[^'\n]{2,120}'(?!\w)")}
-_TRIGGERS = ("{", "[", "<", "%", "@@", "TBD", "tbd", "TODO", "TBA", "tba", "todo")
-_TRIGGERS_UPPER = ("__", "%", "$", "XXX", "«")
 _INLINE_TAG = "code|pre|kbd|tt|b|i|u|em|strong|br|hr|p|div|span|a|ul|ol|li|h[1-6]|table|tr|td|th|img|sub|sup|t|k|v"
 _TAG = re.compile(rf"</?(?:{_INLINE_TAG}|html|body|head|blockquote|script|style|link|meta|input|button)(?:\s+[\w-]+=[^>]*)?\s*/?>", re.I)
-_NAME = r"[^\W\d_][\w .\-]{0,40}"
-#: The usual ways in which template languages and people mark a slot.
-_SLOTS = re.compile(
-    rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\{{%[^%\n]{{1,80}}%\}}(?:\s*\{{%[^%\n]{{1,80}}%\}})*|[$#]\{{[^{{}}\n]{{1,60}}\}}|\{{(?:\d{{1,2}}|{_NAME})\}}|<%=?[^%\n]{{1,60}}%>|%\({_NAME}\)[sdif]"
-    rf"|\[\[{_NAME}\]\]|@@{_NAME}@@|\[object object\]|\({_NAME}: ?(?:tbd|todo|tba)\)|<(?!(?:{_INLINE_TAG})>){_NAME}>"
-    rf"|\[(?:insert|add|enter|your|put|fill|aquí va|aqui va|votre|ihr|ihre|hier|inserte|insérez|insérer|su) [^\[\]\n]{{1,50}}\]|\[[^\[\]\n]{{1,50}} (?:eintragen|einfügen|einsetzen|here|ici|aquí|goes here)\]",
-    re.I,
-)
-_SLOTS_UPPER = re.compile(r"(?<!\w)(?:__[A-Z][A-Z0-9_. ]{0,40}__|%[A-Z][A-Z0-9_. ]{1,40}%|\$[A-Z][A-Z0-9_. ]{1,40}\$|X{4,}|X{3}(?= )|«[A-Z][A-Z0-9_. ]{0,40}»)(?!\w)")
+#: Lines without any of these hold no mark of a slot and are not scored for one.
+_MARK = re.compile(r"[{\[<%$@«]|#\{|__|X{3}|tb[da]|todo", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes.maketrans(b"0123456789\t\n\r\x0b\x0c", b"0000000000     ")
+_BREAKS = re.compile(r"[\r\n]+")
 _ENDS = re.compile(r"(?<=[.!?:…])\s+|[\r\n]+")
 
 
 def prose(text: str) -> str:
-    """The text's own prose: code, quotations and markup gone, slots replaced by the reserved symbol."""
+    """The text's own prose: code, quotations and markup gone."""
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     t = _FENCE.sub("\n", t) if "```" in t or "~~~" in t else t
     t = _CELL.sub("\n", t) if "In [" in t or "In[" in t else t
@@ -67,10 +64,6 @@ def prose(text: str) -> str:
     for mark, quoted in _QUOTED.items():
         if mark in t:
             t = quoted.sub(" q ", t)
-    if any(x in t for x in _TRIGGERS):
-        t = _SLOTS.sub(f" {SLOT * 8} ", t)
-    if any(x in t for x in _TRIGGERS_UPPER):
-        t = _SLOTS_UPPER.sub(f" {SLOT * 8} ", t)
     return t
 
 
@@ -79,7 +72,7 @@ def sentences(text: str) -> list[bytes]:
     out = []
     for s in _ENDS.split(text.lower()):
         s = s.strip(" \t#*->|=")
-        if s and (SLOT in s or _LETTER.search(s)):
+        if s and _LETTER.search(s):
             out.append(s.encode("utf-8", "replace").translate(_PLAIN))
     return out
 
@@ -101,6 +94,71 @@ def joined(parts: list[bytes]) -> bytes:
     return b"".join([b" %s " % s for s in parts])
 
 
+def prose_lines(text: str) -> list[str]:
+    return [y for x in _BREAKS.split(text) if (y := x.strip(" \t"))]
+
+
+def marked_lines(text: str) -> list[str]:
+    """Lines of prose that could hold a slot; a line in capitals comes in small letters too, runs of X apart."""
+    out = []
+    for x in prose_lines(text):
+        if _MARK.search(x):
+            out.append(x)
+            if x.isupper():
+                out.append(re.sub("x{3,}", lambda m: m[0].upper(), x.lower()))
+    return out
+
+
+# Classes of bytes, and how many of a run the shape keeps: letters beyond ASCII are small letters, guillemets become marks of their own.
+_CLASS = np.array([ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else ord(" ") if i in (9, 11, 12, 13, 32) else ord("a") if 97 <= i <= 122 or i >= 128 else i for i in range(256)], np.uint8)
+_KEEP = np.array([1 if i == 32 else 2 if i in b"aA0" else 3 for i in range(256)], np.int64)
+_MARKS = np.array([33 <= i < 127 and not chr(i).isalnum() or i in (2, 3) for i in range(256)])
+_X = ord("X")
+
+
+def stream(lines: list[str], shaped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, line, marked) of lines one after the other, as they are or as shapes: the hash of each n-gram, its line, -1 if it runs
+    over the end of one, and whether it holds more than letters, digits and space."""
+    flat = b"".join([b"\n %s \n" % (x if shaped else x.lower()).replace("«", "\x02").replace("»", "\x03").encode("utf-8", "replace") for x in lines])
+    raw = np.frombuffer(flat if shaped else flat.translate(_DIGITS), np.uint8)
+    own = (np.cumsum(raw == 10) - 1) // 2
+    if shaped:
+        c = _CLASS[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (raw == _X).astype(np.int8), [0]))))
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if hi - lo >= 3:
+                c[lo:hi] = _X
+        new = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+        run = np.arange(len(c)) - np.repeat(new, np.diff(np.concatenate((new, [len(c)]))))
+        keep = run < _KEEP[c]
+        raw, own = c[keep], own[keep]
+    g = grams(raw.tobytes()).astype(np.int64)
+    m = _MARKS[raw] | ((raw == _X) & shaped)
+    marked = np.logical_or.reduce([m[k : k + len(g)] for k in range(GRAM)])
+    return g, np.where(own[: len(g)] == own[GRAM - 1 : GRAM - 1 + len(g)], own[: len(g)], -1), marked
+
+
+_DIGITS = bytes.maketrans(b"0123456789\t\r", b"0000000000  ")
+
+
+def line_counts(lines: list[str], shaped: bool) -> np.ndarray:
+    """Counts of the n-grams of lines that hold more than letters, digits and space."""
+    g, own, marked = stream(lines, shaped)
+    return np.bincount(g[(own >= 0) & marked], minlength=SIZE).astype(np.float64)
+
+
+def best_windows(lines: list[str], shaped: bool, ratio: np.ndarray) -> np.ndarray:
+    """The highest sum of log ratios of a window of each line, at least 0; n-grams of letters alone say nothing."""
+    out = np.zeros(len(lines))
+    g, own, marked = stream(lines, shaped)
+    if len(g) < SLOT_WINDOW:
+        return out
+    c = np.concatenate(([0.0], np.cumsum(np.where((own >= 0) & marked, ratio[g], 0.0))))
+    inside = (own[: len(g) - SLOT_WINDOW + 1] == own[SLOT_WINDOW - 1 :]) & (own[: len(g) - SLOT_WINDOW + 1] >= 0)
+    np.maximum.at(out, own[: len(inside)][inside], (c[SLOT_WINDOW:] - c[:-SLOT_WINDOW])[inside])
+    return out
+
+
 def seed_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(grams(joined([s for t in texts for s in sentences(t)])), minlength=SIZE).astype(np.float64)
 
@@ -111,9 +169,10 @@ def filler_seeds() -> list[str]:
 
 
 def natural_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of the n-grams of all texts, fenced code left out; the table has SIZE entries whatever the input, and is summed
-    in parallel. Every distinct sentence counts once, digits aside: a notice does not become natural prose by being repeated, be it
-    on a third of all rows. What residue is left only lowers its own log ratio: n-grams are counted jointly, not by context."""
+    """Three tables of SIZE counts, whatever the input: the n-grams of sentences, fenced code left out, and the wording and shapes of lines
+    of prose; summed in parallel. Every distinct sentence and line counts once, digits aside: a notice does
+    not become natural prose by being repeated, be it on a third of all rows. What residue is left only lowers its own log
+    ratio: n-grams are counted jointly, not by context."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,36 +180,48 @@ def natural_counts(docs: DataFrame) -> np.ndarray:
             for part in slices(texts):
                 got = {x.strip() for t in texts[part] for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}
                 flat = {x.encode("utf-8", "replace").translate(_PLAIN) for x in got if x}
-                yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.binary())], names=["s"])
+                lines = {x.encode("utf-8", "replace") for t in texts[part] for x in prose_lines(prose(t))}
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(flat) + [1] * len(lines), pa.int8()), pa.array([*flat, *lines], pa.binary())], names=["k", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
+        total = np.zeros(3 * SIZE, np.int64)
         for b in batches:
-            parts = b.column(0).to_pylist()
-            for part in slices(parts):
-                total += np.bincount(grams(joined(parts[part])), minlength=SIZE)
+            kind = b.column(0).to_numpy()
+            for k in (0, 1):
+                parts = b.column(1).take(pa.array(np.flatnonzero(kind == k))).to_pylist()
+                for part in slices(parts):
+                    if k == 0:
+                        total[:SIZE] += np.bincount(grams(joined(parts[part])), minlength=SIZE)
+                    else:
+                        lines = [x.decode("utf-8", "replace") for x in parts[part]]
+                        for i, shaped in ((1, False), (2, True)):
+                            total[i * SIZE : (i + 1) * SIZE] += line_counts(lines, shaped).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
-    once = docs.mapInArrow(split, "s binary").distinct()
+    once = docs.mapInArrow(split, "k tinyint, s binary").distinct()
     rows = once.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SIZE)
+    out = np.zeros(3 * SIZE)
     out[rows["g"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    return out.reshape(3, SIZE)
 
 
-def log_ratio(model: np.ndarray, natural: np.ndarray) -> np.ndarray:
-    """Per n-gram log P(model) / P(natural), within -3 and 4; n-grams that the seeds lack count against the model."""
-    r = np.log((model + 0.01) / (model.sum() + 0.01 * SIZE)) - np.log((natural + 0.5) / (natural.sum() + 0.5 * SIZE))
-    return np.where(model > 0, np.clip(r, -3, 4), -1.5).astype(np.float32)
+def log_ratio(model: np.ndarray, natural: np.ndarray, most: float = 4.0, unseen: float = 0.5) -> np.ndarray:
+    """Per n-gram log P(model) / P(natural), within -3 and ``most``; n-grams that the seeds lack count against the model."""
+    r = np.log((model + 0.01) / (model.sum() + 0.01 * SIZE)) - np.log((natural + unseen) / (natural.sum() + unseen * SIZE))
+    return np.where(model > 0, np.clip(r, -3, most), -1.5).astype(np.float32)
 
 
 class Judge:
     """Localises residue in texts by windows of the log ratio."""
 
     def __init__(self, natural: np.ndarray):
-        natural = natural + 5 * seed_counts(list(seeds.NATURAL))  # outweighed by any larger collection
-        self.ratio = [log_ratio(seed_counts(list(x)), natural) for x in (filler_seeds(), seeds.FILLER, seeds.NOTICES, seeds.CHROME)]
+        prose_ = natural[0] + 5 * seed_counts(list(seeds.NATURAL))  # outweighed by any larger collection
+        self.ratio = [log_ratio(seed_counts(list(x)), prose_) for x in (filler_seeds(), seeds.FILLER, seeds.NOTICES, seeds.CHROME)]
+        sound = [x for t in (*seeds.NATURAL, *seeds.sound()) for x in prose_lines(t)]
+        shapes, wordings = seeds.slots()
+        # six for the ratio of marks, which are few n-grams where prose has many; a line is judged as if it had not been counted itself
+        self.slots = [log_ratio(line_counts(x, shaped), np.maximum(natural[i] - 1, 0) + 5 * line_counts(sound, shaped), 6.0, 0.01) for i, shaped, x in ((1, False, wordings), (2, True, shapes))]
 
     def covered(self, flat: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per model, whether each byte lies in a window of positive mean, and the log ratio summed up to each byte."""
@@ -168,49 +239,59 @@ class Judge:
             out.append((np.cumsum(on[: len(flat)], dtype=np.int32) > 0, c))
         return out
 
+    def marked(self, lines: list[str]) -> np.ndarray:
+        """Whether a line holds a slot: the best windows of both models together reach the evidence."""
+        return best_windows(lines, False, self.slots[0]) + best_windows(lines, True, self.slots[1]) >= SLOT_EVIDENCE
+
     def __call__(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(slots, filler characters, notice characters, prose characters) of each text; a sentence counts whole."""
-        parts, owner = [], []
+        """(lines with a slot, filler characters, notice characters, prose characters) of each text; a sentence counts whole."""
+        parts, owner, lines, line_owner = [], [], [], []
         for i, t in enumerate(texts):
             if t:
-                s = sentences(prose(t))
+                p = prose(t)
+                s = sentences(p)
                 parts += s
                 owner += [i] * len(s)
+                if _MARK.search(p):
+                    m = marked_lines(p)
+                    lines += m
+                    line_owner += [i] * len(m)
+        got = np.zeros((len(texts), 4), np.int64)
+        if lines:
+            got[:, 0] = np.bincount(np.array(line_owner)[self.marked(lines)], minlength=len(texts))
         raw = [b" %s " % s for s in parts]
         size = np.array([len(x) for x in raw], np.int64)
         flat = b"".join(raw)
-        got = np.zeros((len(texts), 4), np.int64)
         if not len(size):
             return [tuple(x) for x in got.tolist()]
         starts = np.concatenate(([0], np.cumsum(size)))[:-1]
         own = np.array(owner)
         last = np.maximum(starts + size - GRAM + 1, starts)  # the last n-gram within the sentence
         (fill, stand, note, chrome), (f_sum, s_sum, n_sum, c_sum) = zip(*((np.add.reduceat(c.astype(np.int64), starts) / size, r[last] - r[starts]) for c, r in self.covered(flat)))
-        slot = np.array([SLOT_BYTE in s for s in parts])
         is_chrome = (chrome >= SENTENCE_COVER) & (c_sum >= EVIDENCE)
         # a sentence is covered by windows, and its own evidence, apart from its neighbours', suffices
-        is_fill = ((fill >= SENTENCE_COVER) & (f_sum >= EVIDENCE) & (f_sum >= n_sum) | (stand >= SENTENCE_COVER) & (s_sum >= EVIDENCE) & (s_sum >= n_sum)) & ~slot
-        is_note = (note >= SENTENCE_COVER) & (n_sum >= np.maximum(EVIDENCE, DENSITY * size)) & (n_sum > 2 * c_sum * is_chrome) & ~slot & ~is_fill
+        is_fill = (fill >= SENTENCE_COVER) & (f_sum >= EVIDENCE) & (f_sum >= n_sum) | (stand >= SENTENCE_COVER) & (s_sum >= EVIDENCE) & (s_sum >= n_sum)
+        is_note = (note >= SENTENCE_COVER) & (n_sum >= np.maximum(EVIDENCE, DENSITY * size)) & (n_sum > 2 * c_sum * is_chrome) & ~is_fill
         ended = np.array([s.endswith((b".", b"!", b"?", b":")) or len(s) > 60 for s in parts])
-        for k, (mask, w) in enumerate(((slot, np.ones_like(size)), (is_fill, size), (is_note, size), (is_note | is_fill | ended & ~is_chrome, size))):
-            got[:, k] = np.bincount(own[mask], weights=w[mask], minlength=len(texts)).astype(np.int64)
+        for k, mask in enumerate((is_fill, is_note, is_note | is_fill | ended & ~is_chrome), 1):
+            got[:, k] = np.bincount(own[mask], weights=size[mask], minlength=len(texts)).astype(np.int64)
         return [tuple(x) for x in got.tolist()]
 
 
 def verdict(slots: int, filler: int, notice: int, total: int) -> str | None:
     """What makes a text unusable, if anything."""
-    if slots:
-        return "slot"
+    if notice and notice >= NOTICE_COVER * total:
+        return "notice"
     if filler:
         return "filler"
-    return "notice" if notice and notice >= NOTICE_COVER * total else None
+    return "slot" if slots else None
 
 
 def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, verdict, slots, filler, notice, prose) of each text: verdict is slot, filler, notice or null for a sound text.
 
     Null and empty texts are sound (there is nothing unusable in them). Whole texts are read, twice: once to count the natural
-    model, once to judge; the sentences are shuffled to be counted once each, and the count table."""
+    models, once to judge; sentences and lines are shuffled to be counted once each, and the count tables."""
     docs = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     judge = Judge(natural_counts(docs))
 

@@ -63,8 +63,48 @@ FILLER = (
 
 #: Natural prose on software, errors and scripts included: it steadies the natural model of small collections.
 NATURAL = (
+    "See [the guide](https://example.org/guide/a_b) and the [index] for 5% of the cases, about $3 each.\nThe notes [1] and [2, 3] are by @lee; #12 is done (see below).\nTypes such as List<String> or Map<Key, Value> and names such as max_size or __init__ are kept.\nTHE WHOLE PAGE (A, B) IS SET IN CAPITALS: 100% OF IT.\n- [x] a task that is done\n- [ ] a task to do\n{a, b} is a set, and x < y < z holds.",
     "The bundler compiles the modules and writes one file per entry. JavaScript modules have to be enabled in the bundler; the option is called mode. The option is set in the configuration of the build. Our build needs Python packages to be enabled in the lock file.",
     "The server answers with an error when the key is missing, and the client retries the request. Users who see the message should clear the cache. The test checks that the response is denied without a token. We log the message and open a new session. The crawler skips pages without a body.",
     "The function returns the sorted values and keeps the order of equal keys. Each node owns a list of edges; nothing else may change it. We measured the time of each step and compared the results. The index holds one row per term. If the file is missing, the default is read. Call the method before the handle is closed.",
     "Das Modul hält genau einen Eintrag vor. Fehlt der Schlüssel, gilt der Wert der Vorgabe. Le module conserve une seule entrée par clé. Si la clé manque, la valeur par défaut est prise. El módulo guarda una sola entrada por cada clave. Si falta la clave, se usa el valor por defecto.",
 )
+
+#: The usual ways in which template languages and people mark a slot, %s being its name.
+SLOT_MARKS = (
+    "{{%s}}", "{{ %s }}", "{{{%s}}}", "{{#%s}}", "{{/%s}}", "{%s}", "${%s}", "#{%s}", "<%%= %s %%>", "<%%=%s%%>", "<%% %s %%>", "{%% %s %%}", "{%% block %s %%}{%% endblock %%}", "%%(%s)s", "%%(%s)d",
+    "[[%s]]", "[[ %s ]]", "@@%s@@", "__%s__", "%%%s%%", "%%%%%s%%%%", "$%s$", "«%s»", "<%s>", "<< %s >>", "<<%s>>", "XXX", "XXXX", "XXXXX", "XX/XX/XXXX",
+)
+SLOT_WORDS = (
+    "[insert %s here]", "[INSERT %s HERE]", "[your %s here]", "[YOUR %s]", "[your %s]", "[enter %s]", "[add %s here]", "[%s here]", "[%s goes here]", "[put %s here]", "[fill in %s]",
+    "<your %s>", "<your %s here>", "<insert %s>", "<insert %s here>", "<enter %s>", "{your %s}", "{insert %s}", "(%s: TBD)", "(%s: TODO)", "(%s: TBA)", "(%s to be defined)",
+    "[votre %s ici]", "[insérer %s ici]", "[votre %s]", "[Ihr %s hier]", "[%s einfügen]", "[%s eintragen]", "[hier %s einsetzen]", "[aquí va %s]", "[su %s aquí]", "[inserte %s aquí]",
+)
+SLOT_BARE = ("%s: TBD", "%s: TBA", "[object Object]", "[TBD]", "[TODO]", "[TBA]")
+_NAMES = "name|first name|last_name|company|companyName|company name|email|phone number|address|city|date|start_date|price|order.id|product|product_title|url|description|amount|NAME|DATE|COMPANY_NAME|CITY|EMAIL|User.Name|customer|customer_id|0|1|12|i|item|count".split("|")
+_PLACES = ("%s", "text %s text", "Text %s.", "%s text", "text: %s", "%s, text", "Text %s!", "# %s", "- %s", "text (%s) text")
+
+#: Sound uses of the same marks.
+SOUND_MARKS = ("(%s)", "(%s, %s)", "[%s](https://example.org/%s)", "[%s]", "[see %s]", "[1]", "[2, 3]", "[x]", "@%s", "#12", "#%s", "%s_id", "%s[0]", "%s(%s)", "5%%", "$5", "$1.50", "%s: %s", "%s < 5", "%s > 5", "%s -> %s", "a/%s/%s.txt", "%s = %s", "- [ ] %s", "%s & %s", "C++ %s", "*%s*", "**%s**", "_%s_", "~%s~", "%s|%s")
+
+
+def sound() -> list[str]:
+    """Lines in which marks stand for themselves."""
+    return [place % m.replace("%s", n).replace("%%", "%") for place in _PLACES for m in SOUND_MARKS for n in ("name", "first name", "Type", "API", "x")]
+
+
+def slots() -> tuple[list[str], list[str]]:
+    """(lines for the model of shapes, lines for that of wordings). In wordings the name is a symbol that no text has, so that only the
+    words and marks around it are learned; in shapes any name does."""
+
+    def named(form: str, name: str) -> str:
+        if "%s" not in form:
+            return form
+        return form % (name.upper() if form in ("__%s__", "%%%s%%", "%%%%%s%%%%", "$%s$", "«%s»") else name)
+
+    boxed = [f"[{a} {b}]" for a in ("COMPANY", "YOUR", "FULL") for b in ("NAME", "ADDRESS")]  # of one word alone it would be a tag
+    # square and round brackets in small letters are links and notes as well: only their wording counts
+    forms = (*SLOT_MARKS, *(f for f in SLOT_WORDS if f[0] in "<{" or f.isupper()))
+    shapes = [place % x for place in _PLACES for x in [*boxed, *(named(f, n) for f in forms for n in _NAMES)]]
+    wordings = [place.replace("text", "\x05").replace("Text", "\x05") % named(f, "\x05") for place in _PLACES for f in (*SLOT_WORDS, *SLOT_BARE)]
+    return shapes, wordings

@@ -388,13 +388,13 @@ def test_mix(spark):
 # --- 9
 PROSE = ["The parser reads the file and keeps one entry per node of the table.", "We measured the cache and compared the results of each build.", "If the key is missing, the index falls back to the default value.", "Set the limit to three when the queue has to hold more than ten jobs."]
 BAD = {
-    "slot": ["Welcome to {{ project }}, the home of the tools.", "Maintained by __AUTHOR__.", "Hello [INSERT NAME HERE], your build is ready.", "Version &lt;version&gt; changes the cache.", "Copyright [object Object]."],
+    "slot": ["Welcome to {{ project }}, the home of the tools.", "Maintained by __AUTHOR__.", "Hello [INSERT NAME HERE], your build is ready.", "Version &lt;version&gt; changes the cache.", "Copyright [object Object].", "THE REPORT OF <YOUR TEAM> IS READY.", "Write to [COMPANY NAME] in time.", "Made by %%OWNER%% for all.", "Call us: {{" + "a long name of a field " * 5 + "}}.", "The price (amount: TBD) is due.", "Signed XXXX for the board."],
     "filler": ["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.", "asdf asdf qwer qwer asdf sdfg", "bla bla text blah words more bla text.", "Coming soon.", "Your description goes here."],
     "notice": ["Please enable JavaScript to view this page.", "404 Not Found\nThe page you asked for is not on this server.", "Access denied. You do not have permission to open this page.", "Your session has expired. Sign in again to continue.", "503 Service Unavailable"],
 }
 SOUND = [
     "The renderer replaces `{{ name }}` with the value of the key.", 'Users who see "Page not found" should clear the cache of the build.', "```html\n<h1>{{ title }}</h1>\n```\nThe template above prints a heading of the table.",
-    "Our build needs JavaScript modules to be enabled in the bundler; the option is called `mode`. " + " ".join(PROSE), "    x = f'{name}'\n" + PROSE[0], "", None, "   ", "???", PROSE[1] * 50,
+    "Our build needs JavaScript modules to be enabled in the bundler; the option is called `mode`. " + " ".join(PROSE), "    x = f'{name}'\n" + PROSE[0], "", None, "   ", "???", PROSE[1] * 50, "See [the parser](https://example.org/a_b) and the [cache] for 5% of keys (about $3).", "ALL CAPITALS (A, B) ARE SOUND: 100% OF THEM.", "The field user_name of List and #12 @team are [1] notes.",
 ]
 
 
