@@ -33,7 +33,7 @@ NOTICE_COVER = 0.12  # part of a text's prose that notices must make up
 EVIDENCE = 11.0  # summed log ratio that a sentence must reach: prior odds of 60,000 to one against residue
 DENSITY = 0.5  # log ratio per character that a notice must reach, which a sentence that mentions one does not
 SLOT_WINDOW = 6  # n-grams of a window of the slot models
-SLOT_EVIDENCE = 5.3  # summed log ratio that a line must reach: midway between sound lines (0) and slots (10.6) of sf0.1
+SLOT_EVIDENCE = 6.7  # summed log ratio that a line must reach: midway between sound lines (0) and slots (13.5) of sf0.1
 
 _FENCE = re.compile(r"(?:^|\n)[ \t]*(```|~~~).*?(?:\n[ \t]*\1|\Z)", re.S)
 # a notebook cell ends at its output, or at a blank line before a line that does not begin like code
@@ -44,7 +44,7 @@ _QUOTED = {'"': re.compile(r"\"[^\"\n]{1,200}\""), "“": re.compile(r"“[^”\
 _INLINE_TAG = "code|pre|kbd|tt|b|i|u|em|strong|br|hr|p|div|span|a|ul|ol|li|h[1-6]|table|tr|td|th|img|sub|sup|t|k|v"
 _TAG = re.compile(rf"</?(?:{_INLINE_TAG}|html|body|head|blockquote|script|style|link|meta|input|button)(?:\s+[\w-]+=[^>]*)?\s*/?>", re.I)
 #: Lines without any of these hold no mark of a slot and are not scored for one.
-_MARK = re.compile(r"[{\[<%$@«]|#\{|__|X{3}|tb[da]|todo", re.I)
+_MARK = re.compile(r"[{\[<%$@«]|#\{|__|X{3}|\b(?:tb[da]|todo)\b", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes.maketrans(b"0123456789\t\n\r\x0b\x0c", b"0000000000     ")
 _BREAKS = re.compile(r"[\r\n]+")
@@ -112,28 +112,31 @@ def marked_lines(text: str) -> list[str]:
 # Classes of bytes, and how many of a run the shape keeps: letters beyond ASCII are small letters, guillemets become marks of their own.
 _CLASS = np.array([ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else ord(" ") if i in (9, 11, 12, 13, 32) else ord("a") if 97 <= i <= 122 or i >= 128 else i for i in range(256)], np.uint8)
 _KEEP = np.array([1 if i == 32 else 2 if i in b"aA0" else 3 for i in range(256)], np.int64)
-_MARKS = np.array([33 <= i < 127 and not chr(i).isalnum() or i in (2, 3) for i in range(256)])
-_X = ord("X")
+# What marks a slot; of the ordinary punctuation only colon and brackets, and only where the wording counts. Runs of X and of underlines,
+# in shapes, are symbols of their own.
+_X, _LINE = ord("X"), 4
+_MARKS = [np.array([i < 128 and chr(i) in x for i in range(256)]) for x in ("{}[]<>%$#@\x02\x03:()", "{}[]<>%$#@\x02\x03\x04X")]
 
 
 def stream(lines: list[str], shaped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-grams, line, marked) of lines one after the other, as they are or as shapes: the hash of each n-gram, its line, -1 if it runs
-    over the end of one, and whether it holds more than letters, digits and space."""
+    over the end of one, and whether it holds a mark."""
     flat = b"".join([b"\n %s \n" % (x if shaped else x.lower()).replace("«", "\x02").replace("»", "\x03").encode("utf-8", "replace") for x in lines])
     raw = np.frombuffer(flat if shaped else flat.translate(_DIGITS), np.uint8)
     own = (np.cumsum(raw == 10) - 1) // 2
     if shaped:
         c = _CLASS[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], (raw == _X).astype(np.int8), [0]))))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if hi - lo >= 3:
-                c[lo:hi] = _X
+        for sign, least, symbol in ((_X, 3, _X), (ord("_"), 2, _LINE)):
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], (raw == sign).astype(np.int8), [0]))))
+            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if hi - lo >= least:
+                    c[lo:hi] = symbol
         new = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
         run = np.arange(len(c)) - np.repeat(new, np.diff(np.concatenate((new, [len(c)]))))
         keep = run < _KEEP[c]
         raw, own = c[keep], own[keep]
     g = grams(raw.tobytes()).astype(np.int64)
-    m = _MARKS[raw] | ((raw == _X) & shaped)
+    m = _MARKS[shaped][raw]
     marked = np.logical_or.reduce([m[k : k + len(g)] for k in range(GRAM)])
     return g, np.where(own[: len(g)] == own[GRAM - 1 : GRAM - 1 + len(g)], own[: len(g)], -1), marked
 
@@ -141,14 +144,14 @@ def stream(lines: list[str], shaped: bool) -> tuple[np.ndarray, np.ndarray, np.n
 _DIGITS = bytes.maketrans(b"0123456789\t\r", b"0000000000  ")
 
 
-def line_counts(lines: list[str], shaped: bool) -> np.ndarray:
-    """Counts of the n-grams of lines that hold more than letters, digits and space."""
+def line_counts(lines: list[str], shaped: bool) -> tuple[np.ndarray, int]:
+    """Counts of the n-grams of lines that hold a mark, and the number of all n-grams."""
     g, own, marked = stream(lines, shaped)
-    return np.bincount(g[(own >= 0) & marked], minlength=SIZE).astype(np.float64)
+    return np.bincount(g[(own >= 0) & marked], minlength=SIZE).astype(np.float64), int((own >= 0).sum())
 
 
 def best_windows(lines: list[str], shaped: bool, ratio: np.ndarray) -> np.ndarray:
-    """The highest sum of log ratios of a window of each line, at least 0; n-grams of letters alone say nothing."""
+    """The highest sum of log ratios of a window of each line, at least 0; n-grams without a mark say nothing."""
     out = np.zeros(len(lines))
     g, own, marked = stream(lines, shaped)
     if len(g) < SLOT_WINDOW:
@@ -169,47 +172,54 @@ def filler_seeds() -> list[str]:
 
 
 def natural_counts(docs: DataFrame) -> np.ndarray:
-    """Three tables of SIZE counts, whatever the input: the n-grams of sentences, fenced code left out, and the wording and shapes of lines
-    of prose; summed in parallel. Every distinct sentence and line counts once, digits aside: a notice does
-    not become natural prose by being repeated, be it on a third of all rows. What residue is left only lowers its own log
-    ratio: n-grams are counted jointly, not by context."""
+    """Two tables of SIZE counts, whatever the input: n-grams of all sentences, fenced code left out, and of the shapes around marks
+    of those sentences of the texts' own prose that hold any; summed in parallel. Every distinct sentence counts once, digits aside:
+    a notice does not become natural prose by being repeated, be it on a third of all rows. What residue is left only lowers
+    its own log ratio: n-grams are counted jointly, not by context."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in slices(texts):
-                got = {x.strip() for t in texts[part] for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}
-                flat = {x.encode("utf-8", "replace").translate(_PLAIN) for x in got if x}
-                lines = {x.encode("utf-8", "replace") for t in texts[part] for x in prose_lines(prose(t))}
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(flat) + [1] * len(lines), pa.int8()), pa.array([*flat, *lines], pa.binary())], names=["k", "s"])
+                some = texts[part]
+                both = [{x.strip() for t in some for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}, {x.strip() for t in some if _MARK.search(t) for x in _ENDS.split(prose(t)) if _MARK.search(x)}]
+                flat = [{x.encode("utf-8", "replace").translate(_PLAIN) for x in got if x} for got in both]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k in (0, 1) for _ in flat[k]], pa.int8()), pa.array([*flat[0], *flat[1]], pa.binary())], names=["k", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 * SIZE, np.int64)
+        total = np.zeros((2, SIZE), np.int64)
         for b in batches:
             kind = b.column(0).to_numpy()
             for k in (0, 1):
                 parts = b.column(1).take(pa.array(np.flatnonzero(kind == k))).to_pylist()
                 for part in slices(parts):
-                    if k == 0:
-                        total[:SIZE] += np.bincount(grams(joined(parts[part])), minlength=SIZE)
+                    if k:
+                        total[1] += line_counts([x.decode("utf-8", "replace") for x in parts[part]], True)[0].astype(np.int64)
                     else:
-                        lines = [x.decode("utf-8", "replace") for x in parts[part]]
-                        for i, shaped in ((1, False), (2, True)):
-                            total[i * SIZE : (i + 1) * SIZE] += line_counts(lines, shaped).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
+                        total[0] += np.bincount(grams(joined(parts[part])), minlength=SIZE)
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["g", "n"])
 
     once = docs.mapInArrow(split, "k tinyint, s binary").distinct()
     rows = once.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(3 * SIZE)
+    out = np.zeros(2 * SIZE)
     out[rows["g"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(3, SIZE)
+    return out.reshape(2, SIZE)
 
 
-def log_ratio(model: np.ndarray, natural: np.ndarray, most: float = 4.0, unseen: float = 0.5) -> np.ndarray:
-    """Per n-gram log P(model) / P(natural), within -3 and ``most``; n-grams that the seeds lack count against the model."""
-    r = np.log((model + 0.01) / (model.sum() + 0.01 * SIZE)) - np.log((natural + unseen) / (natural.sum() + unseen * SIZE))
-    return np.where(model > 0, np.clip(r, -3, most), -1.5).astype(np.float32)
+def log_ratio(model: np.ndarray, natural: np.ndarray) -> np.ndarray:
+    """Per n-gram log P(model) / P(natural), within -3 and 4; n-grams that the seeds lack count against the model."""
+    r = np.log((model + 0.01) / (model.sum() + 0.01 * SIZE)) - np.log((natural + 0.5) / (natural.sum() + 0.5 * SIZE))
+    return np.where(model > 0, np.clip(r, -3, 4), -1.5).astype(np.float32)
+
+
+def mark_ratio(seeded: list[str], sound: list[str], natural: np.ndarray, total: float, shaped: bool) -> np.ndarray:
+    """The same for n-grams with marks, which are few where prose has many, so within -3 and 6. A line is judged as if it had not been
+    counted itself, and sound uses of marks count beside the collection."""
+    (model, m), (known, k) = line_counts(seeded, shaped), line_counts(sound, shaped)
+    r = np.log((model + 0.01) / m) - np.log((np.maximum(natural - 1, 0) + 5 * known + 0.01) / (total + 5 * k))
+    return np.where(model > 0, np.clip(r, -3, 6), -1.5).astype(np.float32)
 
 
 class Judge:
@@ -220,8 +230,8 @@ class Judge:
         self.ratio = [log_ratio(seed_counts(list(x)), prose_) for x in (filler_seeds(), seeds.FILLER, seeds.NOTICES, seeds.CHROME)]
         sound = [x for t in (*seeds.NATURAL, *seeds.sound()) for x in prose_lines(t)]
         shapes, wordings = seeds.slots()
-        # six for the ratio of marks, which are few n-grams where prose has many; a line is judged as if it had not been counted itself
-        self.slots = [log_ratio(line_counts(x, shaped), np.maximum(natural[i] - 1, 0) + 5 * line_counts(sound, shaped), 6.0, 0.01) for i, shaped, x in ((1, False, wordings), (2, True, shapes))]
+        total = natural[0].sum()  # a shape is about half as long as its text
+        self.slots = [mark_ratio(wordings, sound, natural[0], total, False), mark_ratio(shapes, sound, natural[1], total / 2, True)]
 
     def covered(self, flat: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per model, whether each byte lies in a window of positive mean, and the log ratio summed up to each byte."""
@@ -291,7 +301,7 @@ def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, verdict, slots, filler, notice, prose) of each text: verdict is slot, filler, notice or null for a sound text.
 
     Null and empty texts are sound (there is nothing unusable in them). Whole texts are read, twice: once to count the natural
-    models, once to judge; sentences and lines are shuffled to be counted once each, and the count tables."""
+    models, once to judge; sentences are shuffled to be counted once each, and the count tables."""
     docs = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     judge = Judge(natural_counts(docs))
 
