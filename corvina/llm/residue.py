@@ -43,8 +43,8 @@ _CODE_LINE = re.compile(r"(?m)^(?:(?: {4}|\t).*|(?:def|class|async|function|cons
 _QUOTED = {'"': re.compile(r"\"[^\"\n]{1,200}\""), "“": re.compile(r"“[^”\n]{1,200}”"), "„": re.compile(r"„[^“”\n]{1,200}[“”]"), " '": re.compile(r"(?<= )'[^'\n]{2,120}'(?!\w)")}
 _INLINE_TAG = "code|pre|kbd|tt|b|i|u|em|strong|br|hr|p|div|span|a|ul|ol|li|h[1-6]|table|tr|td|th|img|sub|sup|t|k|v"
 _TAG = re.compile(rf"</?(?:{_INLINE_TAG}|html|body|head|blockquote|script|style|link|meta|input|button)(?:\s+[\w-]+=[^>]*)?\s*/?>", re.I)
-#: Lines without any of these hold no mark of a slot and are not scored for one.
-_MARK = re.compile(r"[{\[<%$@«]|#\{|__|X{3}|\b(?:tb[da]|todo)\b", re.I)
+_MARK = re.compile(r"[{\[<%$@«]|#\{|__|XXX")
+_MARK_WORDS = ("TBD", "TBA", "TODO", "tbd", "tba", "todo")
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes.maketrans(b"0123456789\t\n\r\x0b\x0c", b"0000000000     ")
 _BREAKS = re.compile(r"[\r\n]+")
@@ -94,6 +94,11 @@ def joined(parts: list[bytes]) -> bytes:
     return b"".join([b" %s " % s for s in parts])
 
 
+def has_mark(text: str) -> bool:
+    """Whether a text holds any of the marks without which a line is not scored for a slot."""
+    return bool(_MARK.search(text)) or any(w in text for w in _MARK_WORDS)
+
+
 def prose_lines(text: str) -> list[str]:
     return [y for x in _BREAKS.split(text) if (y := x.strip(" \t"))]
 
@@ -102,7 +107,7 @@ def marked_lines(text: str) -> list[str]:
     """Lines of prose that could hold a slot; a line in capitals comes in small letters too, runs of X apart."""
     out = []
     for x in prose_lines(text):
-        if _MARK.search(x):
+        if has_mark(x):
             out.append(x)
             if x.isupper():
                 out.append(re.sub("x{3,}", lambda m: m[0].upper(), x.lower()))
@@ -182,7 +187,7 @@ def natural_counts(docs: DataFrame) -> np.ndarray:
             texts = b.column(0).to_pylist()
             for part in slices(texts):
                 some = texts[part]
-                both = [{x.strip() for t in some for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}, {x.strip() for t in some if _MARK.search(t) for x in _ENDS.split(prose(t)) if _MARK.search(x)}]
+                both = [{x.strip() for t in some for x in _ENDS.split((_FENCE.sub("\n", t) if "```" in t or "~~~" in t else t).lower())}, {x.strip() for t in some if has_mark(t) and has_mark(p := prose(t)) for x in _ENDS.split(p) if has_mark(x)}]
                 flat = [{x.encode("utf-8", "replace").translate(_PLAIN) for x in got if x} for got in both]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k in (0, 1) for _ in flat[k]], pa.int8()), pa.array([*flat[0], *flat[1]], pa.binary())], names=["k", "s"])
 
@@ -262,7 +267,7 @@ class Judge:
                 s = sentences(p)
                 parts += s
                 owner += [i] * len(s)
-                if _MARK.search(p):
+                if has_mark(p):
                     m = marked_lines(p)
                     lines += m
                     line_owner += [i] * len(m)
