@@ -89,6 +89,8 @@ def split_oversized(df: DataFrame, text_col: str, max_size: int, overlap: int, k
     not moved: a filter by length, then one pass over the oversized texts only. overlap must be below max_size / 2."""
     if not (0 <= overlap < max_size / 2 or (overlap == 0 and max_size == 1)):
         raise ValueError("overlap must be non-negative and less than half of max_size")
+    if {"piece_no", "char_from", "char_to", "piece"} & set(keep):
+        raise ValueError("kept columns must not have the names of the result's own")
     big = df.select(*keep, F.col(text_col).alias("__text"))
     big = big.filter(F.col("__text").isNotNull() if keep_small else F.char_length("__text") > max_size)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in big.schema.fields[:-1]) + ", " + SCHEMA

@@ -32,7 +32,7 @@ def mix(docs: DataFrame, rate: DataFrame, seed: str = "mix") -> DataFrame:
     docs has doc_id, source and tokens; rate has a row per target, a table fixed in size by the caller, and is broadcast: a
     source that holds most texts stays where it lies. Texts of null or untargeted sources, and null ids, do not come out."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    j = docs.filter("doc_id IS NOT NULL").join(F.broadcast(rate.select("source", "rate")), "source")
+    j = docs.select("doc_id", "source", "tokens").filter("doc_id IS NOT NULL").join(F.broadcast(rate.select("source", "rate")), "source")
     n = (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     j = j.withColumn("n", n).filter("n > 0")
     return j.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
@@ -41,7 +41,7 @@ def mix(docs: DataFrame, rate: DataFrame, seed: str = "mix") -> DataFrame:
 def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, source_tokens, all_tokens, mixed_tokens, reached_share): reached_share is of all tokens that
     came out, in as many copies as they did."""
-    got = mixed.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"))
+    got = mixed.select("source", "tokens").groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"))
     out = rate.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     total = F.sum("mixed_tokens").over(_all())
     return out.select("source", "target_share", "max_repeats", "source_tokens", "all_tokens", "mixed_tokens", F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0).alias("reached_share"))

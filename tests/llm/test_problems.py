@@ -417,3 +417,34 @@ def test_residue_that_a_third_of_rows_repeat(spark, notice):
     df = spark.createDataFrame(list(enumerate(natural + copies)), "doc_id bigint, text string").coalesce(2)
     got = {r["doc_id"] for r in residue.judged(df, "doc_id", "text").filter("verdict IS NOT NULL").collect()}
     assert got == set(range(1500, 2250))
+
+
+# --- all
+def test_extra_columns_nulls_and_repeats_do_no_harm(spark, scratch):
+    """Every operator on rows with null ids and texts, a very long text, repeated rows, and extra columns named like its own."""
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    data = [(1, "a b c d e f", "q1", "c1", 0.5), (1, "a b c d e f", "q1", "c1", 0.5), (2, "A b C d e f!", None, "c1", None), (None, "a b c d e f", "q1", None, 0.5), (3, None, " ", "", float("nan")), (4, "", "q2", "c2", 0.5), (5, long, "q1", "c3", 0.5), (6, long + " more", "q3", "c3", 0.1)]
+    extra = "id n k1 k2 sig bands band members x field train cid copies head hot d p weight chunks text tokens bucket place first rank container group_id split q c node root v u m source rate verdict slots keep_id row_id __g __i __s __text key sa sb".split()
+    plain = spark.createDataFrame(data, "pair_id bigint, code string, query_id string, corpus_id string, score double")
+    full = plain.select("*", F.lit("query").alias("query"), *(F.lit(i).alias(c) for i, c in enumerate(extra)))
+    own = plain.select("*", F.lit("query").alias("query"), F.when(F.col("pair_id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit("s").alias("source"), F.lit(3).alias("tokens"))
+    wide = own.select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra) if c not in own.columns))
+    for df, ops in (
+        (full, [
+            lambda d: boundaries.split_oversized(d, "code", 1000, 10, ["pair_id"]),
+            lambda d: topn.top_n_per_group(d, "query_id", "corpus_id", "score", 2),
+            lambda d: formatting.copies(formatting.record_keys(d, "pair_id", "code")),
+            lambda d: neardup.near_duplicates(d, "pair_id", "code", scratch),
+            lambda d: neardup.near_duplicates(d, "pair_id", "code", scratch, hot=1),
+            lambda d: splits.connected(d, "pair_id", ("query_id", "corpus_id"), scratch),
+            lambda d: packing.pack(d, "pair_id", "code", 100, scratch, 4),
+            lambda d: residue.judged(d, "pair_id", "code"),
+        ]),
+        (wide, [lambda d: overlap.Leakage(d, scratch).pairs(), lambda d: overlap.Leakage(d, scratch).row_fractions(), lambda d: mixing.mix(d.withColumnRenamed("pair_id", "doc_id"), mixing.rates(d, spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")))]),
+    ):
+        for op in ops:
+            narrow = df.select("pair_id", "code", "query_id", "corpus_id", "score", "query", *(["split", "source", "tokens"] if df is wide else []))
+            assert Counter(map(tuple, op(df).collect())) == Counter(map(tuple, op(narrow).collect()))
+            assert op(df.limit(0)).count() == 0
+    assert {(r["id_a"], r["id_b"]) for r in neardup.near_duplicates(full, "pair_id", "code", scratch).collect()} == {(5, 6)}
+    assert rows(splits.connected(full, "pair_id", ("query_id", "corpus_id"), scratch)) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 1)]
