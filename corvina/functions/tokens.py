@@ -4,8 +4,12 @@ Python anyway. A name is taken apart once per worker, not once per occurrence.""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _WORD, _MINING = re.compile(r"[A-Za-z0-9_]+"), re.compile(r"[a-z_][a-z0-9_]*|[0-9]+")
 _STEPS = [re.compile(p) for p in ("([0-9])([a-zA-Z])", "([a-zA-Z])([0-9])", "([A-Z]{2,})([A-Z][a-z])", "([a-z0-9])([A-Z])")]
@@ -49,6 +53,18 @@ class MiningTokens:
         return _MINING.findall((text or "").lower())
 
 
+def token_lists(texts: DataFrame, key: str, text: str, tokens: Callable[[str | None], list[str]]) -> DataFrame:
+    """T2, T3. (key, tokens) of texts, in one Arrow pass; for whole columns this is faster than the expressions, which take every
+    occurrence of a name apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=[key, "tokens"])
+
+    rows = texts.select(key, F.col(text).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, tokens array<string>")
+
+
 def term_id(term: str) -> int:
     """A term as a signed 64-bit integer; it follows from the term alone."""
     h = xxhash.xxh3_64_intdigest(term)

@@ -85,13 +85,15 @@ def clusters(ids: DataFrame, pairs: DataFrame, scratch: Scratch, rounds: int = 5
     """N6. (id, cluster): the smallest id joined to each by pairs; smallest labels spread until nothing changes."""
     both = scratch.keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.keep(both.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id")))
+    none = F.lit(None).cast(dict(labels.dtypes)["id"])
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        new = labels.join(near, "id").select("id", F.least("cluster", "near").alias("cluster"))
+        near = both.join(labels.select(F.col("id").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster", none.alias("was"))
+        new = near.unionByName(labels.select("id", "cluster", F.col("cluster").alias("was"))).groupBy("id").agg(F.min("cluster").alias("cluster"), F.max("was").alias("was"))
         # a label's own label is at least as small: paths halve at every round
         hop = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("next"))
-        new = scratch.keep(new.join(hop, "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster")))
-        moved = new.join(labels.withColumnRenamed("cluster", "was"), "id").filter("cluster <> was").limit(1).count()
+        new = scratch.keep(new.join(hop, "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster"), "was"))
+        moved = new.filter("cluster <> was").limit(1).count()
+        scratch.drop(labels)
         labels = new
         if not moved:
             break

@@ -110,7 +110,15 @@ def _(sp, d):
     return n.select("name", F.array_join(text.split_identifier("name"), " ").alias("parts"))
 
 
-@query("T2_tokenize_code", f"SELECT pair_id, array_to_string({s.tokens('code')}, ' ') AS tokens FROM download")
+_TOKENS = f"SELECT pair_id, array_to_string({s.tokens('code')}, ' ') AS tokens FROM download"
+
+
+@query("T2_tokenize_code", _TOKENS)
+def _(sp, d):
+    return tokens.token_lists(load(sp, d, "download"), "pair_id", "code", tokens.CodeTokens()).select("pair_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("T2_tokenize_expression", _TOKENS)
 def _(sp, d):
     return load(sp, d, "download").select("pair_id", F.array_join(text.tokenize_code("code"), " ").alias("tokens"))
 
@@ -194,9 +202,9 @@ def _(sp, d):
 
 
 # --- lexical ---------------------------------------------------------------------------------------------------------
-def _search(sp, d, k, tok=tokens.CodeTokens, weights=None, counted=False, least=0):
+def _search(sp, d, k, tok=tokens.CodeTokens, weights=None, counted=False, least=0, corpus=None):
     sc = Scratch(sp, "lexical")
-    index = lexical.build(_corpus(sp, d), tok(), sc, least_length=least)
+    index = lexical.build(_corpus(sp, d) if corpus is None else corpus, tok(), sc, least_length=least)
     return lexical.search(lexical.query_terms(_questions(sp, d), tok(), counted=counted), index, k, sc, weights=weights)
 
 
@@ -283,8 +291,8 @@ def _(sp, d):
 _HASHV = "b AS (SELECT {key}, ('0x' || substr(md5(t), 1, 4))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 5, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS s FROM tk GROUP BY 1, 2), n AS (SELECT {key}, sqrt(sum(s * s)) AS n FROM b GROUP BY 1)"
 
 
-def _encoded(sp, d):
-    return vectors.hash_encode(_corpus(sp, d), "doc_id", "text", tokens.CodeTokens())
+def _encoded(sp, d, corpus=None):
+    return vectors.hash_encode(_corpus(sp, d) if corpus is None else corpus, "doc_id", "text", tokens.CodeTokens())
 
 
 @query("V1_hash_encode", f"WITH {s.CORPUS}, tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus), {_HASHV.format(key='doc_id')} SELECT doc_id, b AS pos, round(s / greatest(n, 1e-12), 6) AS x FROM b JOIN n USING (doc_id) WHERE s <> 0")
@@ -310,10 +318,10 @@ _HDENSE = f"""tk AS (SELECT doc_id, unnest({s.tokens('text')}) AS t FROM corpus)
   dscore AS (SELECT query_id, doc_id, round(p / greatest(dn.n, 1e-12) / greatest(qn.n, 1e-12), 9) + 0.0 AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (query_id))"""
 
 
-def _hash_dense(sp, d, k):
+def _hash_dense(sp, d, k, corpus=None):
     """Dense ranking of the corpus by the stand-in encoder."""
     q = vectors.hash_encode(_questions(sp, d), "query_id", "query", tokens.CodeTokens()).withColumnRenamed("query_id", "qid")
-    r = vectors.top_k(q, _encoded(sp, d).withColumnRenamed("doc_id", "id"), k)
+    r = vectors.top_k(q, _encoded(sp, d, corpus).withColumnRenamed("doc_id", "id"), k)
     return r.select(F.col("qid").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -323,8 +331,10 @@ def _hash_dense(sp, d, k):
   SELECT query_id, doc_id, round(score, 6) AS score, rank, dense_score, sparse_score, sources FROM ({s.rank('f', 10, extra='best, ')})""")
 def hybrid_search(sp, d):
     """F7. Dense and lexical search fused by weighted reciprocal ranks, with provenance."""
-    sparse = _search(sp, d, 50).withColumn("source", F.lit("sparse"))
-    both = Scratch(sp, "hybrid").keep(_hash_dense(sp, d, 50).withColumn("source", F.lit("dense")).unionByName(sparse))
+    sc = Scratch(sp, "hybrid")
+    corpus = sc.keep(_corpus(sp, d))
+    sparse = _search(sp, d, 50, corpus=corpus).withColumn("source", F.lit("sparse"))
+    both = sc.keep(_hash_dense(sp, d, 50, corpus).withColumn("source", F.lit("dense")).unionByName(sparse))
     f = fusion.provenance(fusion.rrf(both, {"dense": 0.85, "sparse": 0.15}, 20, 10), both)
     return f.select("query_id", "doc_id", r6("score"), big("rank"), r6("dense_score"), r6("sparse_score"), "sources")
 
@@ -680,9 +690,10 @@ _FIVE = f"""{s.bm25()}, {_HDENSE}, sp AS ({s.rank('scores', 50)}), de AS ({s.ran
 def _five(sp, d):
     """(lists, reranked, routed): the rankings A dense, B fused, C and D those reranked, E dense through the router; all depth 50."""
     sc = Scratch(sp, "configurations")
-    index = lexical.build(_corpus(sp, d), tokens.CodeTokens(), sc)
+    corpus = sc.keep(_corpus(sp, d))
+    index = lexical.build(corpus, tokens.CodeTokens(), sc)
     sparse = lexical.search(lexical.query_terms(_questions(sp, d), tokens.CodeTokens()), index, 50, sc).withColumn("source", F.lit("sparse"))
-    both = sc.keep(_hash_dense(sp, d, 50).withColumn("source", F.lit("dense")).unionByName(sparse))
+    both = sc.keep(_hash_dense(sp, d, 50, corpus).withColumn("source", F.lit("dense")).unionByName(sparse))
     dense = both.filter("source = 'dense'").select("query_id", "doc_id", "rank", F.col("score").alias("dense_score"))
     fused = sc.keep(fusion.rrf(both, _WEIGHTS, 20, 50).select("query_id", "doc_id", "rank"))
     scorer = _overlap_scorer(sp, d, index)
