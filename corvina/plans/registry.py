@@ -145,6 +145,11 @@ def _(sp, d):
     return load(sp, d, "documents").select("doc_id", text.content_hash("text").alias("h"))
 
 
+@query("T8_hash_algorithms", f"SELECT doc_id, md5({_NORM.format(c='text')}) AS by_md5, sha1({_NORM.format(c='text')}) AS by_sha1 FROM documents")
+def _(sp, d):
+    return load(sp, d, "documents").select("doc_id", text.content_hash("text", "md5").alias("by_md5"), text.content_hash("text", "sha1").alias("by_sha1"))
+
+
 @query("T10_T11_postings_codec", f"WITH p AS (SELECT DISTINCT pair_id AS n, unnest({s.mining('code')}) AS term FROM download), g AS (SELECT term, n // 4096 AS block, n - lag(n) OVER (PARTITION BY term, n // 4096 ORDER BY n) AS gap, n FROM p) SELECT term, block, count(*) AS n, min(n) AS first, sum(CASE WHEN coalesce(gap, n) < 128 THEN 1 WHEN coalesce(gap, n) < 16384 THEN 2 WHEN coalesce(gap, n) < 2097152 THEN 3 ELSE 4 END)::BIGINT AS n_bytes FROM g GROUP BY 1, 2")
 def _(sp, d):
     p = load(sp, d, "download").select("pair_id", F.explode(F.array_distinct(text.mining_tokens("code"))).alias("term"))

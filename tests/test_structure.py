@@ -24,6 +24,8 @@ def test_js_functions():
     got = {n: (a, b, c) for _, n, _, a, b, c in code_meta.js_functions(JS, "m.js")}
     assert got == {"outer": (1, 6, ["first", "last"]), "inner": (2, 2, ["helper"]), "run": (7, 7, ["go"]), "arrow": (8, 8, ["load"])}
     assert "obj.method" in code_meta.js_functions(JS, "m.js", True)[0][5]
+    tricky = "const clean = (s) => s.replace(/[\"'(\\/]{2}/g, mark(s));\nfunction half(a) { return walk(a) / 2 / rest(a); } // a / b\nfunction test(s) { return /\\/x(/.test(s) || last(s); }\n"
+    assert {n: c for _, n, _, _, _, c in code_meta.js_functions(tricky, "m.js")} == {"clean": ["mark"], "half": ["walk", "rest"], "test": ["last"]}
     assert code_meta.js_functions("", "m.js") == [] and code_meta.js_functions("function (", "m.js") == []
 
 
