@@ -124,10 +124,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the other splits that are in training as well, per split and source, by each kind of overlap and by any, and their
-    mean overlap fraction (0 for a row that shares no chunk)."""
+    mean overlap fraction with the training record nearest to each (0 for a row without any)."""
     df = load(spark, d, "download")
-    found = overlap.Leakage(df, Scratch(spark, "p6"))
-    hit = found.rows().groupBy("id").agg(F.collect_set("by").alias("by")).join(found.row_fractions(), "id", "full_outer")
+    hit = overlap.Leakage(df, Scratch(spark, "p6")).rows().groupBy("id").agg(F.collect_set("by").alias("by"), F.max("fraction").alias("fraction"))
     j = df.filter("coalesce(split, '') <> 'train'").select("pair_id", "split", "source").join(hit.withColumnRenamed("id", "pair_id"), "pair_id", "left")
     count = lambda c: F.count(F.when(c, 1))
     kinds = [count(F.array_contains("by", k)).alias(f"by_{k}") for k in ("query", "code", "corpus_id")]

@@ -299,6 +299,7 @@ def test_leakage_matches_brute_force(spark, scratch, block, monkeypatch):
     assert {r['id'] for r in k.row_fractions().collect()} <= {r[0] for r in data if r[1] != 'train'}
     outside = {i for p in want for i in p if by[i][1] != "train"}
     assert {r["id"] for r in k.rows().collect()} == outside
+    assert all((r["fraction"] is None) == (r["by"] == "corpus_id") and (r["fraction"] is None or 0.7 <= r["fraction"] <= 1) for r in k.rows().collect())
     assert all(0 < r["fraction"] <= 1 for r in overlap.overlap_fractions(k.shared).collect())
     assert overlap.Leakage(df.limit(0), scratch).pairs().count() == 0
 
