@@ -55,10 +55,10 @@ def chunks(h: np.ndarray, size: int = 3, grain: int = GRAIN) -> tuple[np.ndarray
     return d.view(np.int64), (ends - starts)[first]
 
 
-def heads(df: DataFrame, id_col: str, train: F.Column, fields: list[str], size: int, counts: np.ndarray, step: int, threshold: float) -> DataFrame:
-    """(field, id, train, k1, k2, n, head, hot): one row per record and non-blank field; n counts its distinct chunks of grain 1, head
-    and hot are those to join, apart by field."""
-    names, block = list(fields), prefixes.BLOCK
+def heads(df: DataFrame, id_col: str, train: F.Column, fields: list[str], size: int, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(field, id, train, k1, k2, n, head): one row per record and non-blank field; n counts its distinct chunks of grain 1, head has
+    those to join, apart by field."""
+    names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -72,14 +72,14 @@ def heads(df: DataFrame, id_col: str, train: F.Column, fields: list[str], size:
                     keys = [record_key(t) for t in texts[part]]
                     good = np.array([k is not None for k in keys], bool)
                     n, s, row = prefixes.heads([t if g else None for t, g in zip(texts[part], good)], size, hasher, counts, threshold)
-                    head, hot = prefixes.head_lists(mix(s + np.uint64(f)), row, len(keys), prefixes.parts_of(s, counts, step, block))
+                    head = prefixes.head_lists(mix(s + np.uint64(f)), row, len(keys))
                     mine = (own >= part.start) & (own < part.stop)
                     mine[mine] = good[own[mine] - part.start]
                     take, i = pa.array(own[mine] - part.start), pa.array(rows[mine])
                     k = [pa.array([x[j] if x else None for x in keys], pa.int64()).take(take) for j in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), b.column(0).take(i), b.column(1).take(i), *k, pa.array(n.astype(np.int32)).take(take), head.take(take), hot.take(take)], names=["field", "id", "train", "k1", "k2", "n", "head", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), b.column(0).take(i), b.column(1).take(i), *k, pa.array(n.astype(np.int32)).take(take), head.take(take)], names=["field", "id", "train", "k1", "k2", "n", "head"])
 
-    return _texts(df, id_col, train, fields).mapInArrow(run, f"field string, id bigint, train boolean, k1 bigint, k2 bigint, n int, {prefixes.HEAD}")
+    return _texts(df, id_col, train, fields).mapInArrow(run, "field string, id bigint, train boolean, k1 bigint, k2 bigint, n int, head array<bigint>")
 
 
 def _texts(df: DataFrame, id_col: str, train: F.Column, fields: list[str]) -> DataFrame:
@@ -178,12 +178,12 @@ class Leakage:
 
     @cached_property
     def rec(self) -> DataFrame:
-        counts, step = prefixes.frequencies(self.df, self.id_col, self.fields, self.size)
-        return self.s.keep(heads(self.df, self.id_col, self.train, self.fields, self.size, counts, step, self.threshold))
+        counts = prefixes.frequencies(self.df, self.fields, self.size)
+        return self.s.keep(heads(self.df, self.id_col, self.train, self.fields, self.size, counts, self.threshold))
 
     @cached_property
     def cls(self) -> DataFrame:
-        return self.s.keep(classes(self.rec, ["n", "head", "hot"]))
+        return self.s.keep(classes(self.rec, ["n", "head"]))
 
     @cached_property
     def shared(self) -> DataFrame:
@@ -193,8 +193,9 @@ class Leakage:
     @cached_property
     def near(self) -> DataFrame:
         """(field, id_a of a class in training, id_b of one outside, part_a, part_b) with sim of at least the threshold."""
-        side = lambda c: self.cls.filter(f"{c} > 0 AND n > 0").select("field", F.col("cid").alias("id"), "n", "head", "hot")
-        found = self.s.keep(prefixes.candidates(side("in_train"), side("outside"), self.threshold, on=("field",)))
+        side = lambda c: self.cls.filter(f"{c} > 0 AND n > 0").select("field", F.col("cid").alias("id"), "n", "head")
+        crowd = self.s.keep(prefixes.crowded(self.cls))
+        found = self.s.keep(prefixes.candidates(side("in_train"), side("outside"), crowd, self.threshold, on=("field",)))
         need = found.select("field", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
         sets = None
         for f in self.fields:

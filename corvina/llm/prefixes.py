@@ -2,8 +2,8 @@
 
 Two sets of n and m shingles with a similarity of at least the threshold have at least threshold * n in common, so each of the two
 has a common one among its first n - ceil(threshold * n) + 1, in any order that all sets share: its head. Only heads are joined,
-rarest shingles first by counts on a sample; the order decides the cost alone, and no pair is lost at any length. A shingle that
-by the sample is in so many heads that one task could not hold their pairs is joined in blocks of rows against blocks of rows."""
+rarest shingles first by counts over all rows; the order decides the cost alone, and no pair is lost at any length. A shingle that
+is in so many heads that one task could not hold their pairs is joined in blocks of rows against blocks of rows; these are counted too."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corvina.llm.textkit import Hasher, shingle_rows, slices
 
-SAMPLE, BITS = 10_000, 18  # rows on which shingles are counted, and the size of the table of counts
+BITS = 18  # the size of the table of counts
 BLOCK = 5_000  # rows of one key that a task joins with as many others
 
 
@@ -24,27 +24,27 @@ def bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def frequencies(df: DataFrame, id_col: str, fields: list[str], size: int) -> tuple[np.ndarray, int]:
-    """How often shingles occur in the distinct texts of a sample of rows, a table of 2^BITS entries by their first bits, and the
-    number of rows for which each row of the sample stands. Rows are sampled by a hash of their id."""
+def frequencies(df: DataFrame, fields: list[str], size: int) -> np.ndarray:
+    """In how many texts of all rows shingles occur, copies included, a table of 2^BITS entries by their first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         total = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for part in slices(texts):
-                total += np.bincount(bucket(shingle_rows(texts[part], size, hasher)[0]), minlength=1 << BITS)
+            for column in b.columns:
+                code = column.drop_null().dictionary_encode()
+                texts, times = code.dictionary.to_pylist(), np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary))
+                for part in slices(texts):
+                    s, n = shingle_rows(texts[part], size, hasher)
+                    np.add.at(total, bucket(s), np.repeat(times[part], n))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
-    step = max(1, df.count() // SAMPLE)
-    some = df.filter(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0)
-    texts = some.select(F.explode(F.array(*(F.col(f).cast("string") for f in fields))).alias("text")).filter("text IS NOT NULL").distinct()
-    rows = texts.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 2").toPandas()  # the few of most buckets tell nothing
-    out = np.zeros(1 << BITS, np.int32)
+    texts = df.select(*(F.col(f).cast("string").alias(f) for f in fields))
+    rows = texts.mapInArrow(run, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BITS, np.int64)
     out[rows["g"].to_numpy()] = rows["n"].to_numpy()
-    return out, step
+    return out
 
 
 def heads(texts: list[str | None], size: int, hasher: Hasher, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +58,11 @@ def heads(texts: list[str | None], size: int, hasher: Hasher, counts: np.ndarray
     return n, s[keep], row[keep]
 
 
-def parts_of(s: np.ndarray, counts: np.ndarray, step: int, block: int) -> np.ndarray:
-    """Into how many blocks the rows of each shingle are to be split, by its estimated number."""
-    return np.maximum(1, -(-counts[bucket(s)].astype(np.int64) * step // block)).astype(np.int32)
+def crowded(sets: DataFrame) -> DataFrame:
+    """(d, p): the shingles in the heads of more than BLOCK of the rows (head), and into how many blocks those rows are to be split. There
+    are at most as many as BLOCK goes into the shingles of all heads."""
+    n = sets.select(F.explode("head").alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    return n.select("d", F.ceil(F.col("n") / BLOCK).cast("int").alias("p"))
 
 
 def cells(df: DataFrame, key: str, parts: Column, first: bool) -> DataFrame:
@@ -70,9 +72,9 @@ def cells(df: DataFrame, key: str, parts: Column, first: bool) -> DataFrame:
     return df.withColumn(own, F.pmod(F.xxhash64(key), parts.cast("bigint")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
 
 
-def candidates(a: DataFrame, b: DataFrame, threshold: float, same: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct (on, id_a, id_b) of sides (on, id, n, head array<bigint>, hot array<struct<d, p>>) whose heads have enough in common;
-    if ``same``, of one side with itself, id_a < id_b.
+def candidates(a: DataFrame, b: DataFrame, crowd: DataFrame, threshold: float, same: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (on, id_a, id_b) of sides (on, id, n, head array<bigint>) whose heads have enough in common; if ``same``, of one side
+    with itself, id_a < id_b. crowd is the kept table of what is ``crowded``.
 
     The head that ends first in the order is compared whole, so beyond the c common shingles no more are to come than the
     rest of that set, ceil(threshold * n) - 1; pairs that cannot reach the threshold so are left out."""
@@ -83,35 +85,30 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float, same: bool = False,
         x, y = x.withColumnsRenamed({"id": "id_a", "n": "n_a"}), y.withColumnsRenamed({"id": "id_b", "n": "n_b"}).drop(*on)
         return x.join(y, keys).filter(apart & near).select(*on, "id_a", "id_b", "n_a", "n_b")
 
-    cold = joined(*(x.select(*on, "id", "n", F.explode("head").alias("d")) for x in (a, b)), ["d"])
-    hot = [x.select(*on, "id", "n", F.explode("hot").alias("x")).select(*on, "id", "n", "x.d", "x.p") for x in (a, b)]
+    every = [x.select(*on, "id", "n", F.explode("head").alias("d")) for x in (a, b)]
+    cold = joined(*(x.join(F.broadcast(crowd.select("d")), "d", "left_anti") for x in every), ["d"])
+    hot = [x.join(F.broadcast(crowd), "d") for x in every]
     hot = joined(*(cells(x, "id", F.col("p"), i == 0).drop("p") for i, x in enumerate(hot)), ["d", "sa", "sb"])
     both = cold.unionByName(hot).groupBy(*on, "id_a", "id_b").agg(F.count("*").alias("c"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     rest = F.ceil(F.greatest("n_a", "n_b") * threshold - 1e-9) - 1
     return both.filter((F.col("c") + rest) * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-6).select(*on, "id_a", "id_b")
 
 
-def head_lists(s: np.ndarray, row: np.ndarray, rows: int, parts: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """The columns head and hot of ``rows`` rows, from the shingles of their heads."""
-    hot = parts > 1
-    offsets = lambda m: pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[m], minlength=rows)))).astype(np.int32))
-    pair = pa.StructArray.from_arrays([pa.array(s[hot].view(np.int64)), pa.array(parts[hot])], names=["d", "p"])
-    return pa.ListArray.from_arrays(offsets(~hot), pa.array(s[~hot].view(np.int64))), pa.ListArray.from_arrays(offsets(hot), pair)
-
-
-HEAD = "head array<bigint>, hot array<struct<d: bigint, p: int>>"
+def head_lists(s: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    """The column head of ``rows`` rows, from the shingles of their heads."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))
 
 
 def self_candidates(texts: DataFrame, size: int, threshold: float, keep) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of texts (id, text) whose heads have enough in common; keep(df) writes the heads once."""
-    block = BLOCK
-    counts, step = frequencies(texts, "id", ["text"], size)
+    counts = frequencies(texts, ["text"], size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in (b.slice(p.start, p.stop - p.start) for b in batches for p in slices(b.column(1).to_pylist())):
             n, s, row = heads(b.column(1).to_pylist(), size, hasher, counts, threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), *head_lists(s, row, b.num_rows, parts_of(s, counts, step, block))], names=["id", "n", "head", "hot"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), head_lists(s, row, b.num_rows)], names=["id", "n", "head"])
 
-    side = keep(texts.select("id", "text").mapInArrow(run, f"id bigint, n int, {HEAD}").filter("n > 0"))
-    return candidates(side, side, threshold, same=True)
+    side = keep(texts.select("id", "text").mapInArrow(run, "id bigint, n int, head array<bigint>").filter("n > 0"))
+    return candidates(side, side, keep(crowded(side)), threshold, same=True)

@@ -338,6 +338,21 @@ def test_leakage_of_short_records_matches_brute_force(spark, scratch, most):
     assert set(rows(overlap.Leakage(df, scratch).pairs())) == want and len(want) > 100
 
 
+def test_crowded_shingles_are_counted_over_all_rows(spark, scratch, monkeypatch):
+    monkeypatch.setattr(prefixes, "BLOCK", 3)
+    split, cells = [], prefixes.cells
+    monkeypatch.setattr(prefixes, "cells", lambda df, *x: split.append(df) or cells(df, *x))
+    ids = [r["id"] for r in spark.range(100).filter("xxhash64(id) % 2 <> 0").limit(16).collect()]  # of 20,016 rows none that a sample of every second has
+    few = spark.createDataFrame([(x, ["train", "test"][i % 2], f"a b c d e f g h i j k l{i}") for i, x in enumerate(ids)], "pair_id bigint, split string, code string")
+    many = few.unionByName(spark.range(1000, 21000).selectExpr("id AS pair_id", "'test' AS split", "string(null) AS code")).selectExpr("*", "string(null) AS query", "string(null) AS corpus_id")
+    near = {(r["id_a"], r["id_b"]) for r in overlap.Leakage(many, scratch).near.collect()}
+    assert near == {(a, b) for a in ids[::2] for b in ids[1::2]}
+    a, b = (Counter((r["d"], r["p"]) for r in df.collect()) for df in split)  # each head is the last shingle, its own, and three of the same nine
+    assert len(a) == 3 and {p for _, p in a} == {6} and a == b == Counter({x: 8 for x in a})
+    counts = prefixes.frequencies(many.unionByName(few.selectExpr("*", "code AS query", "string(null) AS corpus_id")), ["query", "code"], 3)
+    assert counts.sum() == 3 * 16 * 10 and sorted(counts[counts > 0].tolist())[-9:] == [48] * 9
+
+
 # --- 7
 def test_patterns_place_everything():
     rng = random.Random(9)
