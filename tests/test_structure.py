@@ -69,6 +69,37 @@ def test_meeting_paths_equal_shortest(spark, scratch):
         assert sorted(map(tuple, graph.meeting_paths(e, pairs, depth).collect())) == sorted(map(tuple, graph.shortest_paths(e, pairs, depth).collect()))
 
 
+def test_meeting_paths_over_shared_names(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    short = lambda: rng.choice(["run", "load", "f1", "f2", "f3", "f4", "f5", None])
+    rows = [(f"m{i}" if i % 9 else None, short(), [rng.choice(["run", "load", "f1", "f2", "f3", "m4", "none", None]) for _ in range(2)] if i % 5 else None) for i in range(40)]
+    f = spark.createDataFrame(rows, "name string, short_name string, calls array<string>")
+    e, links = graph.call_edges(f), graph.call_links(f)
+    assert sorted(map(tuple, links[0].join(links[1], "call").select("src", "dst").distinct().collect())) == sorted(tuple(r) for r in e.distinct().collect() if None not in tuple(r))
+    starts = spark.createDataFrame([("m1",), ("m2",), ("m4",), ("m38",)], "source string")
+    every = starts.crossJoin(spark.createDataFrame([(f"m{i}",) for i in range(40)], "target string"))
+    for depth in (0, 2, 3):
+        want = sorted(map(tuple, graph.shortest_paths(e, every, depth).collect()))
+        assert sorted(map(tuple, graph.meeting_paths(links, every, depth).collect())) == want
+        assert sorted(map(tuple, graph.meeting_paths(links, starts, depth).collect())) == [r for r in want if r[0] != r[1]]
+
+    # 400 functions of one short name that all call it: 160,000 edges, none of which is written
+    from corvina.plans import registry
+
+    kept = []
+
+    class Counting(registry.Scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            kept.append(out.count())
+            return out
+
+    monkeypatch.setattr(registry, "Scratch", Counting)
+    spark.range(400).selectExpr("id AS func_id", "concat('f', id) AS name", "'run' AS short_name", "array('run') AS calls").write.parquet(str(tmp_path / "parsed_functions.parquet"))
+    got = registry.queries()["G8_meeting_paths"](spark, str(tmp_path))
+    assert got.count() == 8 * 399 and got.filter("length <> 1").count() == 0 and max(kept) <= 800
+
+
 def test_pagerank_and_communities(spark, scratch):
     e = spark.createDataFrame([("a", "db:connect"), ("b", "db:connect"), ("c", "db:connect"), ("c", "stripe:api")], "src string, dst string")
     f = spark.createDataFrame([(x,) for x in "abc"], "name string")
