@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvina.functions.blocks import best_of_blocks, column
+from corvina.runtime import Scratch
 
 DIM = 64
 
@@ -99,6 +100,82 @@ def pairs_above(df: DataFrame, tau: float, block: int = 2048) -> DataFrame:
     return pairs.mapInArrow(product, f"qid {t}, id {t}, score double")
 
 
+def _near(q: np.ndarray, c: np.ndarray, tau: float, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the rows of q and c of which the product, rounded to 9 places, reaches tau, a tile of q at a time. Single
+    precision tells all but those within its error of tau; these are multiplied again in double precision."""
+    q4, c4 = q.astype(np.float32), c.astype(np.float32).T
+    far = (q.shape[1] + 8) * 2.0**-23 + 1e-9
+    for at in range(0, len(q), tile):
+        s = q4[at : at + tile] @ c4
+        x, y = np.divmod(np.flatnonzero(s.ravel() >= np.float32(tau - far)), len(c))
+        sure = s[x, y] > np.float32(tau + far)
+        near = np.flatnonzero(~sure)
+        for k in range(0, len(near), 1 << 15):
+            i = near[k : k + (1 << 15)]
+            sure[i] = np.round((q[at + x[i]] * c[y[i]]).sum(1), 9) >= tau
+        yield at + x[sure], y[sure]
+
+
+def _unite(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """up, the root of each place, after the places a were joined with the places b; a root is the smallest of its places."""
+    while True:
+        a, b = up[a], up[b]
+        apart = a != b
+        if not apart.any():
+            return up
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        up[b] = a  # one of several; the others are apart still in the next turn
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def joined_above(df: DataFrame, tau: float, scratch: Scratch, block: int = 5000) -> DataFrame:
+    """(a, b): pairs that join the same rows (id, v) into groups as all of ``pairs_above`` would, directly or over others, but not more
+    of them than rows in each task.
+
+    Of equal vectors only the one of smallest id is multiplied. All others are, each pair of blocks once; a task keeps the groups
+    of its rows and returns one pair for each row, with its group's first. The blocks are written, so that both sides of the product have the same ones."""
+    t = dict(df.dtypes)["id"]
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, m in zip(*(c.to_pylist() for c in b.columns)):
+                u = np.frombuffer(m).reshape(len(ids), -1) + 0.0
+                same = np.round((u * u).sum(1), 9) >= tau  # a zero vector is not near itself
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type.value_type), pa.array([hashlib.sha256(x.tobytes()).digest() if ok else None for x, ok in zip(u, same.tolist())], pa.binary())], names=["id", "key"])
+
+    keyed = scratch.keep(packed(df, "id", block).mapInArrow(key, f"id {t}, key binary"))
+    first = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    twins = scratch.keep(keyed.join(first, "key").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    alone = df.select("id", "v").join(twins.select(F.col("b").alias("id")), "id", "left_anti") if twins.take(1) else df.select("id", "v")
+    blocks = scratch.keep(packed(alone, "id", block).withColumn("no", F.monotonically_increasing_id()))
+    n = blocks.count()
+    parts = max(1, min(n, 16), -(-n // 4))  # 16 pairs of blocks a task, or fewer
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, up, types = {}, [], np.zeros(0, np.int64), pa.int64()
+        for batch in batches:
+            types = batch.schema.field(1).type.value_type
+            for r in range(batch.num_rows):
+                no, ids, m, no2, ids2, m2 = (batch.column(i)[r] for i in range(6))
+                for k, v in ((no.as_py(), ids), (no2.as_py(), ids2)):
+                    if k not in at:
+                        at[k] = len(up)
+                        names.append(v.values)
+                        up = np.concatenate([up, np.arange(len(up), len(up) + len(v.values))])
+                q, c = (np.frombuffer(x.as_buffer()).reshape(len(y.values), -1) for x, y in ((m, ids), (m2, ids2)))
+                for x, y in _near(q, c, tau):
+                    up = _unite(up, at[no.as_py()] + x, at[no2.as_py()] + y)
+        if len(rest := np.flatnonzero(up != np.arange(len(up)))):
+            every = pa.chunked_array(names).combine_chunks()
+            yield pa.RecordBatch.from_arrays([every.take(pa.array(up[rest])).cast(types), every.take(pa.array(rest)).cast(types)], names=["a", "b"])
+
+    x = blocks.select("no", "ids", "m").repartition(parts)
+    y = x.toDF("no2", "ids2", "m2")
+    pairs = x.hint("shuffle_replicate_nl").join(y, F.col("no") <= F.col("no2"))
+    return pairs.mapInArrow(product, f"a {t}, b {t}").unionByName(twins)
+
+
 def best_per_label(queries: DataFrame, corpus: DataFrame, block: int = 2048) -> DataFrame:
     """V13. (qid, label, id, score): of corpus rows (id, v, label) the one of highest cosine for each query and label, ties by id.
 

@@ -165,6 +165,42 @@ def test_versions(spark, scratch, tmp_path):
     assert {r["cluster"]: (r["canonical"], r["versions"]) for r in versioning.collapse(m).collect()} == {0: (1, [1, 0]), 2: (2, [2])}
 
 
+def test_clusters_without_all_pairs(spark, scratch, tmp_path, monkeypatch):
+    from corvina.functions import vectors
+    from corvina.plans import registry
+
+    rng = random.Random(6)
+    rows = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    rows += [rows[0], rows[0], [2 * x for x in rows[1]], [0.0] * 4, [0.0] * 4, [-0.0] * 4, None, [float("nan")] * 4, [float("nan")] * 4]
+    ids = [f"v{(11 * i) % len(rows)}" for i in range(len(rows))]
+    v = spark.createDataFrame([*zip(ids, rows), (None, rows[2])], "id string, v array<double>")
+    for tau in (0.8, 0.97):
+        want = {tuple(r) for r in versioning.clusters(v, versioning.near_pairs(v, tau), scratch).collect()}
+        assert {tuple(r) for r in versioning.clusters(v, vectors.joined_above(v, tau, scratch, 5), scratch).collect()} == want
+
+    import numpy as np
+
+    m = np.random.default_rng(6).normal(size=(90, 8))
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    g = np.round(m @ m.T, 9)
+    for tau in (0.4, float(g[3, 5]), float(g[80, 7]) + 1e-9):  # the last two are within the error of single precision of a product
+        assert {(i, j) for x, y in vectors._near(m, m, tau, 16) for i, j in zip(x.tolist(), y.tolist())} == {*zip(*(k.tolist() for k in np.nonzero(g >= tau)))}
+
+    # 200 equal vectors: 19,900 pairs, of which a chain is written and no more
+    kept = []
+
+    class Counting(registry.Scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            kept.append(out.count())
+            return out
+
+    monkeypatch.setattr(registry, "Scratch", Counting)
+    spark.range(200).selectExpr("id AS vec_id", "array(1f, 2f) AS embedding", "1 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["N6_clusters"](spark, str(tmp_path)).collect()
+    assert {r["id"] for r in got} == set(range(200)) and {r["cluster"] for r in got} == {0} and max(kept) <= 400
+
+
 def test_diffs(spark):
     d = "--- a/src/auth.py\n+++ b/src/auth.py\n@@ -10,3 +10,4 @@ def login\n context\n+added\n-removed\n same\n--- a/x\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone\n"
     rows = versioning.diff_lines(spark.createDataFrame([(1, d), (2, ""), (3, None)], "diff_id int, diff string")).collect()
