@@ -170,7 +170,7 @@ def joined_above(df: DataFrame, tau: float, scratch: Scratch, block: int = 5000)
             every = pa.chunked_array(names).combine_chunks()
             yield pa.RecordBatch.from_arrays([every.take(pa.array(up[rest])).cast(types), every.take(pa.array(rest)).cast(types)], names=["a", "b"])
 
-    x = blocks.select("no", "ids", "m").repartition(parts)
+    x = blocks.select("no", "ids", "m").repartitionByRange(parts, "no")  # so that almost half of the pairs of parts are empty
     y = x.toDF("no2", "ids2", "m2")
     pairs = x.hint("shuffle_replicate_nl").join(y, F.col("no") <= F.col("no2"))
     return pairs.mapInArrow(product, f"a {t}, b {t}").unionByName(twins)
